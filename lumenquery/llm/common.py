@@ -40,11 +40,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lowered."""
+def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lowered or as they stand."""
     from xxhash import xxh3_64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    raw = text.encode("utf-8") if text else b""
+    words = (raw.lower() if lower else raw).split()
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op4_mixing
+from . import op1_secrets, op2_quality, op4_mixing, op5_token_ids
 
 QUERIES = {
     "op1_secret_scans": op1_secrets.query,
+    "op2_quality_rules": op2_quality.query,
     "op4_mixing": op4_mixing.query,
+    "op5_token_ids": op5_token_ids.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_quality, op4_mixing, op5_token_ids
+from . import op1_secrets, op2_quality, op3_kneser_ney, op4_mixing, op5_token_ids, op6_warc
 
 QUERIES = {
     "op1_secret_scans": op1_secrets.query,
     "op2_quality_rules": op2_quality.query,
+    "op3_lm_scoring": op3_kneser_ney.query,
     "op4_mixing": op4_mixing.query,
     "op5_token_ids": op5_token_ids.query,
+    "op6_warc": op6_warc.query,
 }
 
 ORACLES: dict[str, str] = {}

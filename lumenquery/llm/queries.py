@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_quality, op3_kneser_ney, op4_mixing, op5_token_ids, op6_warc
+from . import op1_secrets, op2_quality, op3_kneser_ney, op4_mixing, op5_token_ids, op6_warc, op9_topk
 
 QUERIES = {
     "op1_secret_scans": op1_secrets.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_mixing": op4_mixing.query,
     "op5_token_ids": op5_token_ids.query,
     "op6_warc": op6_warc.query,
+    "op9_exact_topk": op9_topk.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_topk": op9_topk.ORACLE,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_quality, op3_kneser_ney, op4_mixing, op5_token_ids, op6_warc, op9_topk
+from . import op1_secrets, op2_quality, op3_kneser_ney, op4_mixing, op5_token_ids, op6_warc, op7_sentencepiece, op8_jaccard, op9_topk, op10_suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": op1_secrets.query,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_mixing": op4_mixing.query,
     "op5_token_ids": op5_token_ids.query,
     "op6_warc": op6_warc.query,
+    "op7_sentencepiece": op7_sentencepiece.query,
+    "op8_jaccard_join": op8_jaccard.query,
     "op9_exact_topk": op9_topk.query,
+    "op10_suffix_dedup": op10_suffix_dedup.query,
 }
 
 ORACLES: dict[str, str] = {

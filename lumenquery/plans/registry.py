@@ -1,11 +1,15 @@
-"""All queries of the engine by name, each with the SQL that gives the same rows."""
+"""All queries of the engine by name, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from . import evidence_queries, ordered_queries, retrieval_queries, streaming_queries, text_queries
+
+MODULES = (text_queries, retrieval_queries, ordered_queries, evidence_queries, streaming_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

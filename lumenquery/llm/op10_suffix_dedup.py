@@ -5,16 +5,14 @@ substrings; equal strings have equal least hashes.  So every start in a text has
 a key, runs of starts with one key make a segment, and equal strings can only
 be in segments of one key.  Keys that occur once are dropped; segments of equal
 content are counted, and kept once.  The segments that are left are sorted in
-collections of bounded size, each by the column-wise construction of the
-collection's Burrows-Wheeler transform: round j inserts the j-th last symbol of
-every segment, which places all suffixes of length j at once; the transform,
-the common prefixes and the suffixes' owners are rewritten from one external
-file to the next, in order.  A start is repeated if its suffix has a common
-prefix of LENGTH or more with a neighbour.
+collections of bounded size, column by column: they are aligned on their key's gram, so that equal
+strings stand in the same columns, and from the last column to the first each round inserts
+one symbol of every segment, which gives the column's Burrows-Wheeler transform,
+the new order and the new common prefixes; these are rewritten from one
+external file to the next, in order.  A start is repeated if a common prefix of LENGTH or more
+with a neighbour begins at it.
 
-Texts that are equal are one text, with the number of its copies.  A key's
-segments that are too many for one collection are split by a second key of the same kind, whose
-grams are longer.
+Texts that are equal are one text, with the number of its copies.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing;
 rows of one doc_id are documents of their own; removed bytes may cut a
@@ -35,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LENGTH, GRAM, FINE_GRAM = 400, 100, 340
+LENGTH, GRAM = 400, 100
 #: Starts hashed at a time; starts of one segment at most; bytes of one collection.
-CHUNK, RUN, COLLECTION = 1 << 16, 512, 6_000_000
+CHUNK, RUN, COLLECTION = 1 << 16, 512, 12_000_000
 FILTER_BITS = 22
 MULT = 0x9FB21C651E98DF25
 
@@ -63,10 +61,13 @@ class Hashes:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
+    def grams(self, b: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return self._mixed((sums[self.gram :] - sums[: -self.gram]) * self.back[: len(b) - self.gram + 1])
+
     def keys(self, b: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The gram hashes, and the least of them in each window of `length` bytes."""
-        k, w = self.gram, self.length - self.gram + 1
-        h = self._mixed((sums[k:] - sums[:-k]) * self.back[: len(b) - k + 1])
+        w = self.length - self.gram + 1
+        h = self.grams(b, sums)
         x = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
         x[: len(h)] = h
         x = x.reshape(-1, w)
@@ -102,26 +103,33 @@ class Hashes:
 
 
 class External:
-    """An array that lives in two files of a folder, rewritten in turn."""
+    """An array that lives in two files of a folder, rewritten in turn from front to back."""
 
     def __init__(self, folder: str, name: str, dtype, size: int):
         self.files = [np.memmap(os.path.join(folder, f"{name}{i}"), dtype, "w+", shape=size + 1) for i in (0, 1)]
         self.n = 0
 
     def now(self) -> np.ndarray:
-        return self.files[0]
+        return self.files[0][: self.n]
+
+    def padded(self) -> np.ndarray:
+        return self.files[0][: self.n + 1]
+
+    def replace(self, values: np.ndarray) -> None:
+        self.files.reverse()
+        self.n = len(values)
+        self.files[0][: self.n] = values
 
-    def insert(self, at: np.ndarray, old: np.ndarray, values) -> None:
-        """Values at the places `at` of the next file, what there is at the places `old`."""
+    def prepend(self, values: np.ndarray) -> None:
         source, target = self.files
-        n = len(at) + self.n
-        target[:n][old] = source[: self.n]
-        target[at] = values
-        self.files, self.n = [target, source], n
+        target[: len(values)] = values
+        target[len(values) : len(values) + self.n] = source[: self.n]
+        self.files.reverse()
+        self.n += len(values)
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least of values[low..high] of each pair."""
+    """The least of values[low..high] of each pair; values has one more element than is looked at."""
     out = np.zeros(len(low), values.dtype)
     if len(low):
         order = np.argsort(-low)  # descending, so that what lies between two ranges isn't looked at
@@ -130,57 +138,43 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, which starts have `length` bytes that also start elsewhere in the collection."""
-    m = len(strings)
-    sizes = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum(sizes)
-    total = int(sizes.sum()) + m
-    symbol = lambda seg, back: np.where(sizes[seg] >= back, text[np.maximum(ends[seg] - back, 0)] + np.uint8(1), np.uint8(0)) if len(text) else np.zeros(len(seg), np.uint8)
+def repeated_starts(text: np.ndarray, first: np.ndarray, size: np.ndarray, column: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of text, whether the `length` bytes from there on are also in another row at the same column.
+
+    Rows are text[first : first + size], with their first bytes at `column`.  From the last column to the first, each
+    round takes the rows' symbols there in the present order: this is the collection's transform of that column.  Rows that end here
+    come in, least of all; sorting by symbol, stably, orders all rows by what follows; the common prefix of two neighbours of
+    one symbol is one more than the least between them before.
+    """
+    end = column + size
+    hit = np.zeros(len(text) + 1, bool)
+    enter = np.argsort(-end, kind="stable")
+    left, rows = 0, len(first)
     with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp, owner = External(folder, "bwt", np.uint8, total), External(folder, "lcp", np.uint16, total), External(folder, "own", np.int64, total)
-        # round 0: the ends of all strings, which never equal each other
-        everyone = np.arange(m)
-        bwt.insert(everyone, np.zeros(m, bool), symbol(everyone, 1))
-        lcp.insert(everyone, np.zeros(m, bool), 0)
-        owner.insert(everyone, np.zeros(m, bool), everyone << 32)
-        row, active = everyone.copy(), everyone
-        for j in range(1, int(sizes.max(initial=0)) + 1):
-            active = active[sizes[active] >= j]
-            b, common, n = bwt.now()[: bwt.n], lcp.now(), bwt.n
-            fresh = np.zeros(n, bool)
-            fresh[row[active]] = True
-            order = np.argsort(b, kind="stable")
-            order = order[np.searchsorted(b[order], 1) :]  # rows with a symbol before them, by it: the longer suffixes in order
-            k = np.flatnonzero(fresh[order])
-            rows = order[k]
-            seg = owner.now()[rows] >> 32
-            sym = b[rows]
-            new = np.zeros(len(k), np.uint16)
-            before = order[np.maximum(k - 1, 0)]
-            same = (k > 0) & (b[before] == sym)
-            new[same] = _least(common, before[same] + 1, rows[same]) + 1
-            behind = order[np.minimum(k + 1, len(order) - 1)]
-            alike = (k + 1 < len(order)) & (b[behind] == sym)
-            follow = np.zeros(len(k), np.uint16)
-            follow[alike] = _least(common, rows[alike] + 1, behind[alike]) + 1
-            at = m + k
-            old = np.ones(n + len(k), bool)
-            old[at] = False
-            bwt.insert(at, old, symbol(seg, j + 1))
-            lcp.insert(at, old, np.minimum(new, length))
-            owner.insert(at, old, (seg << 32) | j)
-            after = at + 1
-            inside = after < lcp.n
-            lcp.now()[after[inside]] = np.minimum(follow[inside], length)
-            row[seg] = at
-        deep = lcp.now()[: lcp.n] >= length
-        hit = owner.now()[: owner.n][deep | np.append(deep[1:], False)]
-    out = [np.zeros(max(0, s - length + 1), bool) for s in sizes]
-    for s, back in zip((hit >> 32).tolist(), (hit & 0xFFFFFFFF).tolist(), strict=True):
-        out[s][sizes[s] - back] = True
-    return out
+        order, common = External(folder, "order", np.int32, rows), External(folder, "common", np.uint16, rows)
+        for at in range(int(end.max(initial=0)) - 1, int(column.min(initial=0)) - 1, -1):
+            come = left
+            while come < rows and end[enter[come]] > at:
+                come += 1
+            if come > left:
+                order.prepend(enter[left:come])
+                common.prepend(np.zeros(come - left, np.uint16))
+                left = come
+            now = order.now()
+            place = first[now] + (at - column[now])
+            here = np.flatnonzero(column[now] <= at)
+            transform = text[place[here]]
+            by = np.argsort(transform, kind="stable")
+            here, transform = here[by], transform[by]
+            new = np.zeros(len(here), np.uint16)
+            same = np.flatnonzero(transform[1:] == transform[:-1]) + 1
+            new[same] = np.minimum(_least(common.padded(), here[same - 1] + 1, here[same]) + 1, length)
+            deep = new >= length
+            deep[:-1] |= deep[1:]
+            hit[place[here[deep]]] = True
+            order.replace(now[here])
+            common.replace(new)
+    return hit[:-1]
 
 
 def intervals(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -189,38 +183,26 @@ def intervals(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-def sorted_group(segments: list[bytes], keys: np.ndarray, length: int, fine: Hashes) -> list[np.ndarray]:
-    """Repeated starts of segments, in collections of bounded size; only segments of one key can have strings in common.
+def aligned(raw: bytes, key: int, hashes: Hashes) -> list[tuple[int, int, int]]:
+    """Runs (first start, number of starts, offset of the first start from the gram) of the starts of a segment, by the leftmost place of the key's gram."""
+    b = np.frombuffer(raw, np.uint8)
+    places = np.flatnonzero(hashes.grams(b, hashes._sums(b)) == key)
+    starts = np.arange(len(b) - hashes.length + 1)
+    gram = places[np.searchsorted(places, starts)]
+    a = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    return list(zip(a.tolist(), np.diff(np.append(a, len(starts))).tolist(), (a - gram[a]).tolist(), strict=True))
 
-    Starts whose finer key no other segment or run of the same key has can't be repeated, and are left out.
-    """
-    flags = [np.zeros(len(s) - length + 1, bool) for s in segments]
-    found = [(fine.runs(s)) for s in segments]
-    who = np.repeat(np.arange(len(segments)), [len(f[0]) for f in found])
-    key, _, first, n, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-    which = np.unique(key * np.uint64(31) + keys[who], return_inverse=True)[1]
-    left = np.flatnonzero(np.bincount(which, weight)[which] > 1)
-    # neighbouring runs of a segment that are left are sorted as one string
-    left = left[np.lexsort((first[left], who[left]))]
-    if not len(left):
-        return flags
-    w, a, e = who[left], first[left], first[left] + n[left]
-    join = np.append(False, (w[1:] == w[:-1]) & (a[1:] == e[:-1]))
-    head = np.flatnonzero(~join)
-    w, a, e = w[head], a[head], e[np.append(head[1:], len(join)) - 1]
-    order = np.argsort(keys[w], kind="stable")
-    sizes = (e - a + length - 1)[order]
-    at = 0
-    while at < len(order):
-        cut = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), COLLECTION, "right")))
-        while cut < len(order) and keys[w[order[cut]]] == keys[w[order[cut - 1]]]:
-            cut += 1  # a key's segments stay together
-        some = order[at:cut]
-        got = repeated_starts([segments[w[i]][a[i] : e[i] + length - 1] for i in some], length)
-        for i, f in zip(some, got, strict=True):
-            flags[w[i]][a[i] : e[i]] |= f
-        at = cut
-    return flags
+
+def sorted_group(segments: list[bytes], keys: np.ndarray, hashes: Hashes) -> list[np.ndarray]:
+    """Repeated starts of segments; only segments of one key can have strings in common."""
+    rows, base = [], 0
+    for raw, key in zip(segments, keys, strict=True):
+        rows += [(base + a, n + hashes.length - 1, column) for a, n, column in aligned(raw, key, hashes)]
+        base += len(raw)
+    first, size, column = np.array(rows, np.int64).T
+    hit = repeated_starts(np.frombuffer(b"".join(segments), np.uint8), first, size, column, hashes.length)
+    ends = np.cumsum([len(x) for x in segments])
+    return [hit[e - len(x) : e - hashes.length + 1] for x, e in zip(segments, ends, strict=True)]
 
 
 def describe(docs: DataFrame, length: int) -> DataFrame:
@@ -269,11 +251,11 @@ def repeats(segments: DataFrame, length: int) -> DataFrame:
     """(v, seg, starts, ends): intervals of repeated starts of the segments (v, seg, raw)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fine = Hashes(length, FINE_GRAM * length // LENGTH)
+        hashes = Hashes(length, GRAM * length // LENGTH)
 
         def done(rows):
             keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-            got = [(v, s, *intervals(f)) for (v, s, _), f in zip(rows, sorted_group([r[2] for r in rows], keys, length, fine), strict=True)]
+            got = [(v, s, *intervals(f)) for (v, s, _), f in zip(rows, sorted_group([r[2] for r in rows], keys, hashes), strict=True)]
             got = [g for g in got if g[2]]
             columns = list(zip(*got, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in columns[2:])], ["v", "seg", "starts", "ends"])
@@ -281,7 +263,7 @@ def repeats(segments: DataFrame, length: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("v", "seg", "raw")), strict=True):
-                if size > 4 * COLLECTION and row[0] != held[-1][0]:
+                if size > COLLECTION and row[0] != held[-1][0]:
                     yield from done(held)
                     held, size = [], 0
                 held.append(row)

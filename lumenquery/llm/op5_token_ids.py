@@ -1,15 +1,15 @@
 """Token-ID output: list columns in Parquet with dictionary pages, controlled row groups and page indexes.
 
 encode() deals documents by doc_id ranges, encodes each with a public tokenizer
-and writes one file a range, its rows in ascending doc_id order (ties: by text;
-null ids first).  A row holds doc_id, the ids, their number, and part and row,
+and writes one file a range, its rows in ascending doc_id order (ties: by a hash of the
+text; null ids first).  A row holds doc_id, the ids, their number, and part and row,
 which order all rows.  Spark's Parquet writer makes dictionary pages for the ids (they come
 from a bounded vocabulary), row groups of ROW_GROUP bytes and the column and
 offset indexes of pages of PAGE_ROWS rows, so a reader that wants only metadata
 or some documents skips the ids' pages.  locate() gives each document's place in the stream of all ids.
 
 No token of this tokenizer reaches over white space, so words are encoded once
-a task and looked up from then on; the cache is emptied at CACHE words.  Texts
+a worker and looked up from then on; the cache is emptied at CACHE words.  Texts
 that hold a special token's string are encoded whole.
 
 Defined results: null text is empty and has the end id only; an empty table gives no
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_folder
+from .common import new_folder, small_batches
 
 #: SLICE: documents encoded at a time.
-END, CACHE, SLICE, ROW_GROUP, PAGE_ROWS = 1, 300_000, 256, 32 << 20, 2000
+END, CACHE, SLICE, ROW_GROUP, PAGE_ROWS = 1, 700_000, 256, 32 << 20, 2000
 
 
 def tokenizer_path() -> str:
@@ -42,34 +41,69 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Encodes texts of a batch by their words, each word once."""
+    """Encodes texts of a batch by their words, each word once.
+
+    A-Z are lowered first, as the tokenizer does anyway.  Sentence marks behind a letter are tokens of their own, so a
+    word with them is its core and they.  Plain lower-case words are encoded many at a time: each is then one run of pieces, the last with
+    the vocabulary's word end.
+    """
+
+    MARKS = b".,!?;:"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}  # a word and its ids
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            text = w.decode("utf-8")
+            (plain if text.isalpha() and text.islower() and max(text) < "\u0250" else other).append((w, text))
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                self.known.update((w, x.tobytes()) for (w, _), x in zip(some, np.split(ids, cuts[:-1]), strict=True))
+            else:
+                other += some
+        for w, text in other:
+            self.known[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode("utf-8").split() for t in texts]
+        raws = [t.encode("utf-8").lower() for t in texts]
+        words = [r.split() for r in raws]
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = list({w for ws in words for w in ws}.difference(self.known))
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (e.ids for e in found), strict=True))
+        fresh = {w for ws in words for w in ws}.difference(self.known)
+        cores = {w: core for w in fresh if (core := w.rstrip(self.MARKS)) != w and core[-1:].isalpha()}
+        self.learn(list(((fresh - cores.keys()) | set(cores.values()) | {w[len(c) :] for w, c in cores.items()}).difference(self.known)))
+        self.known.update({w: self.known[c] + self.known[w[len(c) :]] for w, c in cores.items()})
         out = []
-        for text, ws in zip(texts, words, strict=True):
-            if any(s in text for s in self.special):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        for text, raw, ws in zip(texts, raws, words, strict=True):
+            if any(s.encode() in raw for s in self.special):
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
             else:
-                ids = chain.from_iterable(map(self.known.__getitem__, ws))
-            out.append(np.fromiter(chain(ids, (END,)), np.int32))
+                ids = b"".join(map(self.known.__getitem__, ws))
+            out.append(np.append(np.frombuffer(ids, np.int32), np.int32(END)))
         return out
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: it outlives a task where Spark uses the worker again, so common words are encoded once a worker."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})  # this module travels by value, so its own globals end with the task
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def encode(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the ids; the files read back: doc_id, part, row, n_tokens, ids."""
     spark = docs.sparkSession
@@ -78,9 +112,9 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, row = Encoder(path), TaskContext.get().partitionId(), 0
+        own, part, row = encoder(path), TaskContext.get().partitionId(), 0
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = own.encode([t or "" for t in batch.column("text").to_pylist()])
             n = np.array([len(x) for x in ids], np.int64)
             offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
@@ -92,12 +126,13 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None)
 
     schema = "doc_id long, part int, row long, n_tokens long, ids array<int>"
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     spark_conf = {
         "compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.page.row.count.limit": str(PAGE_ROWS),
         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.writer.version": "PARQUET_2_0",
     }
-    ordered.mapInArrow(work, schema).write.options(**spark_conf).parquet(folder)
+    with small_batches(spark):
+        ordered.mapInArrow(work, schema).write.options(**spark_conf).parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 

@@ -12,7 +12,8 @@ the new order and the new common prefixes; these are rewritten from one
 external file to the next, in order.  A start is repeated if a common prefix of LENGTH or more
 with a neighbour begins at it.
 
-Texts that are equal are one text, with the number of its copies.
+Texts that are equal are one text, with the number of its copies.  A key of more than MANY segments, such
+as a passage of a third of all texts in different surroundings, would be one long task; its strings are counted by hash instead.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing;
 rows of one doc_id are documents of their own; removed bytes may cut a
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTH, GRAM = 400, 100
+#: Segments of a key beyond which it isn't sorted in one task, but its windows are counted; either way is exact.
+MANY = 50_000
 #: Starts hashed at a time; starts of one segment at most; bytes of one collection.
 CHUNK, RUN, COLLECTION = 1 << 16, 512, 12_000_000
 FILTER_BITS = 22
@@ -276,7 +279,28 @@ def repeats(segments: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(work, "v long, seg long, starts array<int>, ends array<int>")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats_of_crowds(segments: DataFrame, length: int) -> DataFrame:
+    """The same for keys with too many segments for one task: windows' hashes are counted, aggregated before the shuffle.
+
+    The hash has 64 bits and is counted within its key.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes(length, GRAM * length // LENGTH)
+        for batch in batches:
+            for v, seg, raw in zip(*(batch.column(c).to_pylist() for c in ("v", "seg", "raw")), strict=True):
+                sums = hashes._sums(np.frombuffer(raw, np.uint8))
+                h = hashes._mixed((sums[length:] - sums[:-length]) * hashes.back[: len(raw) - length + 1])
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))], ["v", "seg", "at", "h"])
+
+    every = segments.mapInArrow(work, "v long, seg long, at int, h long")
+    twice = materialize(every.groupBy("v", "h").agg(F.count("*").alias("c")).where("c > 1").select("v", "h"), "twice")
+    hit = every.join(twice, ["v", "h"]).groupBy("v", "seg").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    return hit.select("v", "seg", "starts", F.transform("starts", lambda a: a + 1).alias("ends"))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_starts and kept_ends of what was removed."""
     docs = docs.select("doc_id", "text")
     every = materialize(describe(docs, length), "runs")
@@ -286,12 +310,16 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = materialize(e.groupBy("v").agg(F.sum(F.col("copies") * F.col("w")).alias("c")).where("c > 1").select("v"), "keys")
     e = materialize(e.join(often, "v"), "met")
     g = materialize(e.groupBy("v", "seg").agg(F.sum("copies").alias("c"), F.max("w").alias("w"), F.min(F.struct("id", "fp", "s", "n")).alias("at")), "segments")
-    several = g.groupBy("v").agg(F.sum("w").alias("k")).where("k > 1").select("v")
-    wanted = materialize(g.join(several, "v").select("v", "seg", "at.*"), "wanted")
-    by_text = wanted.groupBy("id", "fp").agg(F.collect_list(F.struct("v", "seg", "s", "n")).alias("parts"))
+    several = g.groupBy("v").agg(F.sum("w").alias("k"), F.count("*").alias("n_seg")).where("k > 1").select("v", (F.col("n_seg") > many).alias("crowd"))
+    wanted = materialize(g.join(several, "v").select("v", "seg", "crowd", "at.*"), "wanted")
+    by_text = wanted.groupBy("id", "fp").agg(F.collect_list(F.struct("v", "seg", "crowd", "s", "n")).alias("parts"))
     cut = thinned(docs, wanted).join(by_text, ["id", "fp"]).select("raw", F.explode("parts").alias("p"))
-    cut = cut.select("p.v", "p.seg", F.expr("substring(raw, p.s + 1, p.n + %d)" % (length - 1)).alias("raw")).dropDuplicates(["v", "seg"])
-    inner = materialize(repeats(materialize(cut, "cut"), length), "repeats")
+    cut = cut.select("p.v", "p.seg", "p.crowd", F.expr("substring(raw, p.s + 1, p.n + %d)" % (length - 1)).alias("raw")).dropDuplicates(["v", "seg"])
+    cut = materialize(cut, "cut")
+    inner = repeats(cut.where("not crowd").drop("crowd"), length)
+    if wanted.where("crowd").take(1):
+        inner = inner.unionByName(repeats_of_crowds(cut.where("crowd").drop("crowd"), length))
+    inner = materialize(inner, "repeats")
     # all occurrences of a segment: the whole of it if there are several, else the intervals found
     hit = g.join(inner, ["v", "seg"], "left").where("c > 1 or starts is not null")
     hit = materialize(hit.select("v", "seg", F.when(F.col("c") > 1, F.array(F.lit(0))).otherwise(F.col("starts")).alias("a"), F.when(F.col("c") > 1, F.array(F.col("at.n"))).otherwise(F.col("ends")).alias("b")), "hits")

@@ -275,11 +275,12 @@ def test_op9_topk(spark):
     assert got == want
 
 
-def test_op10_spans(docs, texts, empty):
+@pytest.mark.parametrize("many", [50_000, 1])
+def test_op10_spans(docs, texts, empty, many):
     length = 60
     raws = [(d, (t or "").encode()) for d, t in texts]
     c = Counter(b[i : i + length] for _, b in raws for i in range(len(b) - length + 1))
-    got = {r.doc_id: r for r in op10_suffix_dedup.dedup(docs, length).collect()}
+    got = {r.doc_id: r for r in op10_suffix_dedup.dedup(docs, length, many).collect()}
     for d, b in raws:
         edge = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):

@@ -42,15 +42,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of few rows for a write of whole texts; the session's setting comes back after it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def settings(spark: SparkSession, **values: str | int):
+    """Session settings (dots written as __) for one write; the session's own come back after it."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows, for a write of whole texts."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows)
 
 
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:

@@ -18,6 +18,9 @@ distinct word shingles.
    late in a prefix only counts with smaller partners.  No pair of texts
    in different components is left out, so the components of both rounds' links are those of all links.
 5. Candidates are verified on the whole sets; only candidates' texts move for that.
+6. Every link lies inside a component, so the links of a class are counted there, against all others of its component:
+   components are dealt into blocks of bounded size, blocks meet in pairs where their sizes can link, and a pair of
+   blocks gives one count a class, never rows of links.
 
 Defined results: a document with fewer words than a shingle has the whole sequence as its one shingle; null or blank
 text has the empty set and links with nothing, its component is its own doc_id; rows of one doc_id and several texts
@@ -35,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, window_hashes, word_hashes
+from .common import components, materialize, small_batches, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, SLOTS, MAX_MATCH, VERIFY_COST, BINS, CHUNKS = 20, 16, 4, 16.0, 8, 64
 FILTER_BITS, SIZE_STEP = 22, 1.02
+#: A block's bounds for counting links: classes, and shingles of all of them; shared shingles that are looked at together.
+BLOCK, BLOCK_ITEMS, COLUMNS = 256, 1 << 19, 4096
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -141,12 +146,8 @@ def fixed_filter(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.packbits(out)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose sets link.
-
-    Texts travel, which are smaller than their sets; each text once for its pairs as b, and again with the pair to a.
-    """
-    pairs = materialize(pairs, "pairs")
+def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(fp, text) of the classes of the pairs (a, b)."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = materialize(classes.join(wanted, "fp").select("fp", "locate"), "wanted")
     # keeps most other texts from being made into sets and moved
@@ -164,7 +165,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
     key = locate(docs)
     found = docs.select("text", key.alias("locate"), F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int").alias("bucket"))
     found = found.mapInArrow(some, "fp binary, locate long, text string").join(ids, ["fp", "locate"], "left_semi")
-    found = materialize(found.groupBy("fp").agg(F.min("text").alias("text")), "texts")
+    return materialize(found.groupBy("fp").agg(F.min("text").alias("text")), "texts")
+
+
+def verified(pairs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose sets link; found: their texts.
+
+    Texts travel, which are smaller than their sets; each text once for its pairs as b, and again with the pair to a.
+    """
     of = lambda c: found.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,26 +266,106 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return met.where("c >= need").select("a", "b")
 
 
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class and group (None without words) and n_links, found links of its class."""
+def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of x link with which of y, as a matrix."""
+    sizes = [np.array([len(s) for s in z], np.int64) for z in (x, y)]
+    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes))
+    some = np.bincount(column, minlength=len(values)) > 1  # what one set holds alone is in no intersection
+    row, column = row[some[column]], (np.cumsum(some) - 1)[column[some[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(x), len(y)), np.int64)
+    for first in range(0, int(some.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        has = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        shared += (has[: len(x)] @ has[len(x) :].T).astype(np.int64)
+    return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def count_links(comp: DataFrame, members: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """(fp, n_links): of each class of the components (node, comp), with how many others it links; found: the texts."""
+    spark = comp.sparkSession
+    n = members.where("fp is not null").groupBy("fp").agg(F.min("n").alias("n"))
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+    nodes = materialize(comp.withColumnRenamed("node", "fp").join(n, "fp").withColumn("step", step), "nodes")
+    whole = nodes.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    two = nodes.join(whole.where("c = 2"), "comp").select("fp", F.lit(1).cast("long").alias("n_links"))
+    # a small component is one block, a large one is dealt by steps of size and then by hash
+    small = (F.col("c") <= BLOCK) & (F.col("items") <= BLOCK_ITEMS)
+    more = nodes.join(whole.where("c > 2").select("comp", small.alias("small")), "comp")
+    more = more.withColumn("step", F.when(F.col("small"), -1).otherwise(F.col("step")))
+    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ITEMS) / F.max("n"))))
+    dealt = materialize(more.groupBy("comp", "step").agg(F.when(F.col("step") < 0, 1).otherwise(F.ceil(F.count("*") / per)).alias("salts"), F.min("n").alias("least"), F.max("n").alias("most")), "dealt")
+    more = more.join(dealt.select("comp", "step", "salts"), ["comp", "step"]).withColumn("salt", F.expr("pmod(xxhash64(fp), salts)"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            raw = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "step", "salt", "fp")), pa.array(raw, pa.binary())], ["comp", "step", "salt", "fp", "s"])
+
+    with small_batches(spark):
+        rows = more.join(found, "fp").select("comp", "step", "salt", "fp", "text").mapInArrow(sets, "comp binary, step int, salt long, fp binary, s binary")
+        blocks = materialize(rows.groupBy("comp", "step", "salt").agg(F.collect_list(F.struct("fp", "s")).alias("m")), "blocks")
+
+    def given(members) -> tuple[list[bytes], list[np.ndarray]]:
+        return [m["fp"] for m in members], [np.frombuffer(m["s"], np.uint64) for m in members]
+
+    def counts(fp: list[bytes], c: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(c)
+        return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in some], pa.binary()), pa.array(c[some].astype(np.int64))], ["fp", "n_links"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fp, s = given(batch.column("m")[i].as_py())
+                yield counts(fp, linked(s, s, percent).sum(1) - 1)  # each set links with itself
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (fx, x), (fy, y) = given(batch.column("mx")[i].as_py()), given(batch.column("my")[i].as_py())
+                hit = linked(x, y, percent)
+                yield counts(fx, hit.sum(1))
+                yield counts(fy, hit.sum(0))
+
+    of = lambda c: dealt.where("step >= 0").select("comp", *(F.col(x).alias(x + c) for x in ("step", "least", "most")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt" + c))
+    meet = of("x").join(of("y"), "comp").where("(stepx > stepy or stepx = stepy and saltx > salty)").where(100 * F.col("mosty") >= percent * F.col("leastx"))
+    meet = materialize(meet.select("comp", "stepx", "saltx", "stepy", "salty"), "meet")
+    block = lambda c: blocks.select("comp", *(F.col(x).alias(x + c) for x in ("step", "salt", "m")))
+    meet = meet.join(block("x"), ["comp", "stepx", "saltx"]).join(block("y"), ["comp", "stepy", "salty"])
+    with small_batches(spark, 8):  # blocks are of some MB
+        found = materialize(blocks.select("m").mapInArrow(within, "fp binary, n_links long").union(meet.select("mx", "my").mapInArrow(across, "fp binary, n_links long")), "counts")
+    return two.union(found).groupBy("fp").agg(F.sum("n_links").alias("n_links"))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, and class and group (None without words) and, to count them, n_links: all links of its class with others."""
     docs = docs.select("doc_id", "text")
     members = materialize(describe(docs, k, percent), "members")
     with_fp = members.where("fp is not null")
     classes = materialize(with_fp.groupBy("fp").agg(F.min(locate(members)).alias("locate")), "classes")
-    links = materialize(verified(first_links(members), docs, classes, k, percent), "links")
+    pairs = materialize(first_links(members), "pairs")
+    found = texts_of(pairs, docs, classes, k)
+    links = materialize(verified(pairs, found, k, percent), "links")
     comp = components(links)
-    rest = verified(candidates(members, comp, percent), docs, classes, k, percent)
-    links = materialize(links.union(rest), "alllinks")
+    pairs = materialize(candidates(members, comp, percent), "pairs")
+    more = texts_of(pairs, docs, classes, k)
+    links = materialize(links.union(verified(pairs, more, k, percent)), "alllinks")
     comp = components(links)
-    degree = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    label = classes.select("fp", "locate").join(comp.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
+    label = classes.select("fp", "locate").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
     label = label.withColumn("comp", F.coalesce("comp", "fp"))
     least = with_fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("d"))
     label = label.join(least, "fp", "left")
     ids = label.groupBy("comp").agg(F.min("d").alias("component_id"))
-    label = materialize(label.join(ids, "comp").select("fp", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    label = label.join(ids, "comp").select("fp", "comp", "component_id")
+    if count:
+        texts = found.union(more.join(found, "fp", "left_anti"))
+        label = label.join(count_links(comp, members, texts, k, percent), "fp", "left")
+    label = materialize(label, "labels")
     out = members.select("doc_id", "n", "fp").join(label, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("fp").alias("class"), F.col("comp").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("fp").alias("class"), F.col("comp").alias("group"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count)
 
 
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -285,7 +373,7 @@ def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Rows that share a doc_id (or have none) are told apart by their sets.
     """
-    found = materialize(join(docs, k, percent), "joined")
+    found = materialize(join(docs, k, percent, count=False), "joined")
     of_words = found.where("class is not null")
     stay = of_words.groupBy("group").agg(F.min(F.struct("doc_id", "class")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.class").alias("fp"))
     stay = materialize(stay, "stay")

@@ -244,6 +244,22 @@ def test_op8_components(docs, texts, empty, k, percent):
     assert op8_jaccard.join(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("bounds", [(256, 1 << 19), (7, 900)])
+def test_op8_counts_every_link(spark, monkeypatch, bounds):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if j != 3 * i + 5 else f"x{i}" for j, w in enumerate(base))) for i in range(40)]  # each links with all
+    rows += [(100 + i, " ".join(base[: 150 - 2 * i])) for i in range(15)]  # each with some
+    rows += [(200 + i, " ".join(rng.choices(base, k=60))) for i in range(5)] + [(300, rows[0][1]), (301, "a b c d e f g h i j k l"), (302, None)]
+    sets = {d: frozenset(tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)) if t else frozenset() for d, t in rows}
+    link = lambda a, b: a != b and 100 * len(a & b) >= 90 * len(a | b)
+    monkeypatch.setattr(op8_jaccard, "BLOCK", bounds[0])
+    monkeypatch.setattr(op8_jaccard, "BLOCK_ITEMS", bounds[1])
+    got = {r.doc_id: r.n_links for r in op8_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    want = {d: sum(link(s, o) for o in set(sets.values())) if s else 0 for d, s in sets.items()}
+    assert got == want and want[0] >= 39
+
+
 def test_op8_rows_that_share_an_id(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     df = spark.createDataFrame([(1, a), (1, a), (1, b), (None, a), (2, b), (2, None)], "doc_id long, text string")

@@ -2,8 +2,9 @@
 
 Base spans (assign, access, hex) are always reported.  Weak candidates are
 parts that mean little alone: an access identifier, a secret-like string, an
-endpoint.  Parts of one text meet in scopes of SCOPE code points: two parts
-belong together when one starts within SCOPE of the other's start.  A weak
+endpoint, each of any length and taken whole.  Parts of one text meet in scopes
+of SCOPE code points: two parts belong together when the later one starts within
+SCOPE of the earlier one's end.  A weak
 candidate is reported only if a part of another role is in its scope, and an
 identifier or a secret is among the two: identifier + secret, secret + endpoint
 or identifier + endpoint; base spans count as secrets (assign, hex) or
@@ -11,9 +12,9 @@ identifiers (access).
 
 Positions come from splitting a text by a pattern: the pieces and the matches
 between them add up to the offsets, in code points.  The join runs on (text,
-bucket of SCOPE), each part looking into its own bucket and its neighbours';
-parts of a kind don't overlap, so a bucket holds a bounded number of them, and
-texts that are copies of each other are joined once.  Whole texts never move.
+bucket of SCOPE): a part's end looks for starts in its own bucket and the next,
+its start for ends in its own and the one before; parts of a kind don't overlap,
+so a bucket holds a bounded number of starts and ends, and texts that are copies of each other are joined once.  Whole texts never move.
 
 Defined results: null text counts as empty: no spans, the hash of "".  Repeated
 rows give repeated results.  An empty table gives no rows.  Columns beside
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: How far apart the starts of two parts of one credential may be, in code points.
+#: How far the end of one part of a credential and the start of the next may be apart, in code points.
 SCOPE = 200
 #: kind, role, pattern. The groups that count are checked in spans().
 BASE = (
@@ -36,9 +37,9 @@ BASE = (
     ("hex", "secret", r"[0-9a-f]{32,}"),
 )
 WEAK = (
-    ("weak_id", "id", r"(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"),
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,60}[0-9])[A-Za-z0-9+/]{24,64}={0,2}(?![A-Za-z0-9+/=])"),
-    ("weak_endpoint", "endpoint", r"(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!&*+,;=%-]{4,200}"),
+    ("weak_id", "id", r"(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"),
+    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{24,}+={0,2}(?![A-Za-z0-9+/=])"),
+    ("weak_endpoint", "endpoint", r"(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!&*+,;=%-]{4,}"),
 )
 
 
@@ -87,12 +88,15 @@ def link(parts: DataFrame) -> DataFrame:
     """The weak parts that have a complementary part in scope: (key, linked)."""
     p = parts.where(F.size("weak") > 0).select("key", F.explode(F.concat("assign", "access", "hex", "weak")).alias("s")).select("key", "s.*").distinct()
     role = F.create_map(*[x for k, r in ROLE.items() for x in (F.lit(k), F.lit(r))])
-    p = p.select("*", role[F.col("kind")].alias("role"), F.floor(F.col("start") / SCOPE).alias("bucket"))
-    weak = p.where(F.col("kind").startswith("weak_")).select("*", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("near"))
-    other = p.select("key", F.col("bucket").alias("near"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"))
-    # a part that lies over the weak one says nothing new of it
-    apart = (F.col("o_end") <= F.col("start")) | (F.col("end") <= F.col("o_start"))
-    hit = weak.join(other, ["key", "near"]).where((F.col("role") != F.col("o_role")) & apart & (F.abs(F.col("start") - F.col("o_start")) <= SCOPE))
+    p = p.select("*", role[F.col("kind")].alias("role"))
+    bucket = lambda c: F.floor(F.col(c) / SCOPE)
+    side = lambda ahead, b: F.struct(F.lit(ahead).alias("ahead"), b.alias("near"))
+    # ahead: the weak part comes first; what lies over it says nothing new of it
+    near = F.array(side(True, bucket("end")), side(True, bucket("end") + 1), side(False, bucket("start") - 1), side(False, bucket("start")))
+    weak = p.where(F.col("kind").startswith("weak_")).select("*", F.explode(near).alias("x")).select("key", "start", "end", "kind", "role", "x.*")
+    other = p.select("key", F.explode(F.array(side(True, bucket("start")), side(False, bucket("end")))).alias("x"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role")).select("key", "x.*", "o_start", "o_end", "o_role")
+    gap = F.when(F.col("ahead"), F.col("o_start") - F.col("end")).otherwise(F.col("start") - F.col("o_end"))
+    hit = weak.join(other, ["key", "ahead", "near"]).where((F.col("role") != F.col("o_role")) & gap.between(0, SCOPE))
     return hit.groupBy("key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("linked"))
 
 

@@ -67,6 +67,20 @@ def test_op1_weak_needs_a_partner(spark):
     assert got == {1: 0, 2: 0, 3: 2}
 
 
+def test_op1_long_parts(spark):
+    key88, late = "Zx9" + "aB3" * 28 + "Q", "abcdEFGH" * 10 + "7" + "xyZ" * 5
+    name, url = "bob." * 40 + "smith", "https://host.example.com/" + "path-" * 100 + "end"
+    rows = [
+        (1, f"account = bob.smith {key88}== tail"), (2, f"login = bob.smith {late} tail"), (3, f"login = {name} {key88} tail"), (4, f"{url} login = bob.smith tail"),
+        (5, "w " * 500 + f"login = bob.smith {'~ ' * 90}{'Zx9' * 300}{' ~' * 90} {url} tail"), (6, f"{url} {'~ ' * 110}login = bob.smith tail"), (7, f"login = bob.smith {'~' * 199}{key88}"), (8, f"login = bob.smith {'~' * 200}{key88}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_linked for r in op1_secrets.report(op1_secrets.scan(docs)).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 0, 7: 2, 8: 0}
+    text = {r.doc_id: r.text for r in op1_secrets.redact(docs).collect()}
+    assert text[1] == text[2] == text[3] == "[secret] [secret] tail" and text[4] == "[secret] [secret] tail"
+
+
 def test_op1_redact(docs, texts, empty):
     got = {r.doc_id: r for r in op1_secrets.redact(docs).collect()}
     assert len(got) == len(texts) and op1_secrets.redact(docs).columns == docs.columns

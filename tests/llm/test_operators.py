@@ -233,6 +233,32 @@ def test_op7_viterbi_and_round_trip(docs, texts, empty):
     assert op7_sentencepiece.encode(empty).count() == 0
 
 
+def test_op7_whole_words(spark):
+    pieces, scores, of_byte, usable = op7_sentencepiece.vocabulary(op7_sentencepiece.model_path())
+    ids = {p: i for i, p in enumerate(pieces) if usable[i]}
+    low, longest = min(scores[i] for i in ids.values()) - 10, max(map(len, ids))
+    rng = random.Random(7)
+    words = ["x" * 81, "=" * 80, "internationalization" * 9, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500)), "".join(rng.choices("的一是不了人我在有他这中大来上", k=120)), "-" * 33 + "=" * 70, "thequickbrownfoxjumpsoverthelazydogandkeepsonrunning", "ሴ" * 40]
+    rows = [*enumerate(words), (50, " " * 40 + "word" + " " * 21), (51, " ".join(words)), (52, "".join(rng.choices("abcdefgh0123456789+/", k=400)))]
+    got = {r.doc_id: r for r in op7_sentencepiece.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        want = []
+        for u in re.findall("▁*(?:[^\\W\\d_]+|(?:(?!▁)[\\W\\d_])+)|▁+", "▁" + t.replace(" ", "▁")):
+            best = [(0.0, ())]
+            for e in range(1, len(u) + 1):
+                top = None
+                for s in range(max(0, e - longest), e):
+                    i = ids.get(u[s:e])
+                    if i is None and e > s + 1:
+                        continue
+                    score = best[s][0] + (low if i is None else scores[i])
+                    if top is None or score > top[0]:
+                        top = (score, best[s][1] + ((i,) if i is not None else tuple(of_byte[b] for b in u[s:e].encode())))
+                best.append(top)
+            want += best[-1][1]
+        assert got[d].ids == want and got[d].round_trip, t
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_op8_components(docs, texts, empty, k, percent):
     sets = {}

@@ -1,10 +1,12 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order from 2, counted in Spark.
 
 Counting: every task turns its training texts into (context, word) pairs of
 64-bit word hashes, counts them within blocks of BLOCK tokens and deals the
 blocks out by context.  A reducer adds up its shard, writes two sorted hash
 arrays (pairs and contexts) to the shared folder, and hands on each word's
-count and number of contexts, which a second shuffle adds up by word.  Counts
+count and number of contexts, which another shuffle adds up by word.  Beyond
+order 2 it also hands on the distinct grams without their first word, which make
+the next lower order's counts in the same way: each distinct gram counts once.  Counts
 are whole: nothing is pruned.  A context with a third of all tokens arrives as
 at most one count a word and block.
 
@@ -13,7 +15,8 @@ pairs, contexts and words in sorted order, so reads run through the arrays.
 
 P(w|u) = (max(c(uw) - D, 0) + mass(u) * Pc(w)) / c(u), Pc from numbers of
 contexts, interpolated with 1/(V+1); each level has three discounts, estimated
-from its counts of counts.  A text is its words, A-Z lowered, then an end; its first context is a start mark.
+from its counts of counts; at higher orders the next lower order's P takes the place of Pc.
+A text is its words, A-Z lowered, then an end; its first context is start marks.
 
 Defined results: null or blank text is the end token alone; a null doc_id is in
 the training part; without training tokens every probability is 1; repeated
@@ -34,7 +37,7 @@ from .common import materialize, mix, new_folder, word_hashes
 from .files import mapped, write_bytes
 
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-BLOCK, SLICE = 2_000_000, 1024
+ORDER, BLOCK, SLICE = 3, 2_000_000, 1024
 MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -46,13 +49,22 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * MULT + word)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, words and lengths of the texts, one after the other."""
+def context_hash(contexts: np.ndarray) -> np.ndarray:
+    """One hash of each row of words."""
+    h = contexts[:, 0]
+    for i in range(1, contexts.shape[1]):
+        h = pair_hash(h, contexts[:, i])
+    return h
+
+
+def tokens(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts (a row of order - 1 words each), words and lengths of the texts, one after the other."""
     words, contexts, sizes = [], [], []
     for t in texts:
         h = np.append(word_hashes(t), END)
         words.append(h)
-        contexts.append(np.append(START, h[:-1]))
+        padded = np.concatenate([np.full(order - 1, START), h])
+        contexts.append(np.stack([padded[i : i + len(h)] for i in range(order - 1)], 1))
         sizes.append(len(h))
     return np.concatenate(contexts), np.concatenate(words), np.array(sizes)
 
@@ -65,29 +77,31 @@ def added_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], order[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
-def _blocks(context, word, count, shards: int) -> Iterator[tuple[int, bytes]]:
+def _blocks(contexts, word, count, shards: int) -> Iterator[tuple[int, bytes]]:
     """Blocks of a shard: contexts with their number of words, words, counts."""
-    shard = context % np.uint64(shards)
-    order = np.lexsort((context, shard))
-    context, word, count, shard = context[order], word[order], count[order], shard[order]
+    h = context_hash(contexts)
+    shard = h % np.uint64(shards)
+    order = np.lexsort((h, shard))
+    h, contexts, word, count, shard = h[order], contexts[order], word[order], count[order], shard[order]
     cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
     for s in range(shards):
         a, b = cuts[s], cuts[s + 1]
         if a < b:
-            u = context[a:b]
+            u = h[a:b]
             first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
             sizes = np.diff(np.append(first, b - a))
-            head = np.array([len(first), b - a], np.int64)
-            yield s, b"".join(x.tobytes() for x in (head, u[first], sizes.astype(np.uint32), word[a:b], count[a:b].astype(np.uint32)))
+            head = np.array([len(first), b - a, contexts.shape[1]], np.int64)
+            yield s, b"".join(x.tobytes() for x in (head, contexts[a:b][first], sizes.astype(np.uint32), word[a:b], count[a:b].astype(np.uint32)))
 
 
 def _unblock(raw: bytes):
-    m, n = np.frombuffer(raw, np.int64, 2)
-    at = 16
-    u = np.frombuffer(raw, np.uint64, m, at)
-    sizes = np.frombuffer(raw, np.uint32, m, at + 8 * m)
-    word = np.frombuffer(raw, np.uint64, n, at + 12 * m)
-    return np.repeat(u, sizes), word, np.frombuffer(raw, np.uint32, n, at + 12 * m + 8 * n).astype(np.int64)
+    m, n, width = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    at = 24
+    u = np.frombuffer(raw, np.uint64, m * width, at).reshape(m, width)
+    at += 8 * m * width
+    sizes = np.frombuffer(raw, np.uint32, m, at)
+    word = np.frombuffer(raw, np.uint64, n, at + 4 * m)
+    return np.repeat(u, sizes, axis=0), word, np.frombuffer(raw, np.uint32, n, at + 4 * m + 8 * n).astype(np.int64)
 
 
 def _of_counts(c: np.ndarray) -> list[int]:
@@ -103,7 +117,7 @@ def _row(kind: str, shard: int, block: bytes | None = None, uri: str | None = No
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, shard, block, uri, total, distinct, *n), types, strict=True)], names)
 
 
-def train(docs: DataFrame) -> list:
+def train(docs: DataFrame, order: int = 2) -> list:
     """Count the texts of docs and write the model; its manifest, one row a file."""
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
@@ -114,12 +128,12 @@ def train(docs: DataFrame) -> list:
 
         def flush():
             u, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = added_up(pair_hash(u, w), np.ones(len(u), np.int64))
+            _, first, n = added_up(pair_hash(context_hash(u), w), np.ones(len(u), np.int64))
             for s, block in _blocks(u[first], w[first], n, shards):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
 
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            u, w, _ = tokens(batch.column("text").to_pylist())
+            u, w, _ = tokens(batch.column("text").to_pylist(), order)
             held.append((u, w))
             size += len(u)
             if size >= BLOCK:
@@ -134,17 +148,24 @@ def train(docs: DataFrame) -> list:
             for s, raw in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 by.setdefault(s, []).append(raw)
         for s in sorted(by):
-            u, w, c = (np.concatenate(x) for x in zip(*map(_unblock, by.pop(s)), strict=True))
-            key, first, c = added_up(pair_hash(u, w), c)
-            u, w = u[first], w[first]
-            yield _row("pair", s, uri=write_bytes(folder, f"pair-{s}", [key.tobytes(), c.astype(np.uint32).tobytes()]), distinct=len(key), n=_of_counts(c))
-            ctx, _, total, n1, n2, n3 = added_up(u, c, *((c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))
-            yield _row("context", s, uri=write_bytes(folder, f"context-{s}", [ctx.tobytes(), *(x.astype(np.uint32).tobytes() for x in (total, n1, n2, n3))]), distinct=len(ctx))
-            word, _, c, near = added_up(w, c, np.ones(len(w), np.int64))
-            shard = word % np.uint64(shards)
-            for t in np.unique(shard):
-                at = shard == t
-                yield _row("words", int(t), block=b"".join(x.tobytes() for x in (word[at], c[at], near[at])))
+            contexts, w, c = (np.concatenate(x) for x in zip(*map(_unblock, by.pop(s)), strict=True))
+            level = contexts.shape[1] + 1
+            key, first, c = added_up(pair_hash(context_hash(contexts), w), c)
+            contexts, w = contexts[first], w[first]
+            yield _row(f"pair-{level}", s, uri=write_bytes(folder, f"pair-{level}-{s}", [key.tobytes(), c.astype(np.uint32).tobytes()]), distinct=len(key), n=_of_counts(c))
+            ctx, _, total, n1, n2, n3 = added_up(context_hash(contexts), c, *((c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))
+            yield _row(f"context-{level}", s, uri=write_bytes(folder, f"context-{level}-{s}", [ctx.tobytes(), *(x.astype(np.uint32).tobytes() for x in (total, n1, n2, n3))]), distinct=len(ctx))
+            if level > 2:  # every distinct gram counts once for the gram without its first word
+                lower = contexts[:, 1:]
+                _, first, near = added_up(pair_hash(context_hash(lower), w), np.ones(len(w), np.int64))
+                for t, block in _blocks(lower[first], w[first], near, shards):
+                    yield _row("lower", t, block=block)
+            if level in (2, order):  # tokens are counted at the highest order, contexts of a word at the lowest
+                word, _, c, near = added_up(w, c * (level == order), np.full(len(w), int(level == 2)))
+                shard = word % np.uint64(shards)
+                for t in np.unique(shard):
+                    at = shard == t
+                    yield _row("words", int(t), block=b"".join(x.tobytes() for x in (word[at], c[at], near[at])))
 
     def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -160,9 +181,14 @@ def train(docs: DataFrame) -> list:
 
     blocks = docs.select("text").mapInArrow(count, "shard int, block binary").repartition(shards, "shard")
     pairs = materialize(blocks.mapInArrow(add_pairs, MANIFEST), "lm-pairs")
-    words = pairs.where("kind = 'words'").select("shard", "block").repartition(shards, "shard")
+    levels = pairs
+    for _ in range(order - 2):
+        blocks = pairs.where("kind = 'lower'").select("shard", "block").repartition(shards, "shard")
+        pairs = materialize(blocks.mapInArrow(add_pairs, MANIFEST), "lm-pairs")
+        levels = levels.union(pairs)
+    words = levels.where("kind = 'words'").select("shard", "block").repartition(shards, "shard")
     words = materialize(words.mapInArrow(add_words, MANIFEST), "lm-words")
-    files = pairs.where("kind <> 'words'").union(words).select("kind", "shard", "uri", "total", "distinct_n", "n1", "n2", "n3", "n4")
+    files = levels.where("kind not in ('words', 'lower')").union(words).select("kind", "shard", "uri", "total", "distinct_n", "n1", "n2", "n3", "n4")
     return [tuple(r) for r in files.collect()]  # a few numbers a file
 
 
@@ -174,16 +200,21 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(float(np.clip(x, 0.05, k - 0.05)) for k, x in enumerate(d, 1))])
 
 
+def order_of(manifest) -> int:
+    return max((int(r[0].split("-")[1]) for r in manifest if "-" in r[0]), default=2)
+
+
 class Model:
     """The memory-mapped arrays."""
 
     def __init__(self, manifest: list, shards: int):
-        self.shards, self.arrays = shards, {"pair": {}, "context": {}, "word": {}}
+        self.shards, self.order = shards, order_of(manifest)
+        self.arrays = {"word": {}} | {f"{k}-{i}": {} for k in ("pair", "context") for i in range(2, self.order + 1)}
         sums = {k: np.zeros(6, np.int64) for k in self.arrays}
         for kind, shard, uri, *numbers in manifest:
             n = numbers[1]
             raw = mapped(uri, np.uint8)
-            rest = {"pair": [np.uint32], "context": [np.uint32] * 4, "word": [np.int64] * 2}[kind]
+            rest = {"pair": [np.uint32], "context": [np.uint32] * 4, "word": [np.int64] * 2}[kind.split("-")[0]]
             parts, at = [raw[: 8 * n].view(np.uint64)], 8 * n
             for t in rest:
                 size = n * np.dtype(t).itemsize
@@ -192,8 +223,8 @@ class Model:
             self.arrays[kind][shard] = parts
             sums[kind] += numbers
         self.n, self.v = int(sums["word"][0]), int(sums["word"][1])
-        self.pairs = int(sums["pair"][1])
-        self.d, self.dc = discounts(sums["pair"][2:].tolist()), discounts(sums["word"][2:].tolist())
+        self.pairs = int(sums["pair-2"][1])
+        self.d, self.dc = {i: discounts(sums[f"pair-{i}"][2:].tolist()) for i in range(2, self.order + 1)}, discounts(sums["word"][2:].tolist())
         n1, n2 = sums["word"][2:4].tolist()
         self.mass = self.dc[1] * n1 + self.dc[2] * n2 + self.dc[3] * (self.v - n1 - n2)
 
@@ -220,15 +251,17 @@ class Model:
         base = np.log10((c + 1) / (self.n + 1 * (self.v + 1)))
         low = 1 / (self.v + 1)
         pc = (np.maximum(near - self.dc[np.minimum(near, 3)], 0) + self.mass * low) / self.pairs if self.pairs else np.full(len(word), low)
-        ctx, iu = np.unique(u, return_inverse=True)
-        total, n1, n2, n3 = self.find("context", ctx % size, ctx, 4)
-        key = pair_hash(u, w)
-        pair, first, ip = np.unique(key, return_index=True, return_inverse=True)
-        n = self.find("pair", u[first] % size, pair, 1)[0]
-        d, t, p = self.d, total[iu[first]], pc[iw[first]]
-        mass = (d[1] * n1 + d[2] * n2 + d[3] * n3)[iu[first]]
-        full = np.where(t > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + mass * p) / np.maximum(t, 1), p)
-        return c[iw], base[iw], np.log10(full)[ip]
+        p = pc[iw]
+        for level in range(2, self.order + 1):
+            h = context_hash(u[:, self.order - level :])
+            ctx, iu = np.unique(h, return_inverse=True)
+            total, n1, n2, n3 = self.find(f"context-{level}", ctx % size, ctx, 4)
+            pair, first, ip = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
+            n = self.find(f"pair-{level}", h[first] % size, pair, 1)[0]
+            d, t = self.d[level], total[iu]
+            mass = (d[1] * n1 + d[2] * n2 + d[3] * n3)[iu]
+            p = np.where(t > 0, (np.maximum(n - d[np.minimum(n, 3)], 0)[ip] + mass * p) / np.maximum(t, 1), p)
+        return c[iw], base[iw], np.log10(p)
 
 
 @lru_cache(1)
@@ -246,7 +279,7 @@ def score(docs: DataFrame, manifest: list) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(files.value, shards)
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            u, w, sizes = tokens(batch.column("text").to_pylist())
+            u, w, sizes = tokens(batch.column("text").to_pylist(), model.order)
             c, base, full = model.score(u, w)
             first = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, first)
@@ -261,4 +294,4 @@ def score(docs: DataFrame, manifest: list) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs.where(~held_out(F.col("doc_id")))))
+    return score(docs, train(docs.where(~held_out(F.col("doc_id"))), ORDER))

@@ -141,6 +141,34 @@ def test_op3_scores(docs, texts, empty):
     assert op3_kneser_ney.score(docs.limit(1), op3_kneser_ney.train(empty)).first().score == 0
 
 
+def test_op3_order_3(docs, texts):
+    kn = op3_kneser_ney
+    got = {r.doc_id: r for r in kn.score(docs, kn.train(docs.where(~kn.held_out(docs.doc_id)), 3)).collect()}
+    tok = {d: WORD.findall(lower(t)) + ["</s>"] for d, t in texts}
+    grams = {d: list(zip(["<s>", "<s>", *x[:-2]] if len(x) > 1 else ["<s>"], ["<s>", *x[:-1]], x)) for d, x in tok.items()}
+    c3 = Counter(g for d, _ in texts if zlib.crc32(str(d).encode()) % 7 != 2 for g in grams[d])
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1] for g in c2)
+    disc = [kn.discounts([sum(k == i for k in c.values()) for i in (1, 2, 3, 4)]) for c in (c1, c2, c3)]
+    tot, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+    for c in (c2, c3):
+        for g, k in c.items():
+            tot[g[:-1]] += k
+            kinds[g[:-1]][min(k, 3) - 1] += 1
+    mass1 = sum(disc[0][min(k, 3)] for k in c1.values())
+
+    def prob(*g):
+        if len(g) == 1:
+            return (max(c1[g[0]] - disc[0][min(c1[g[0]], 3)], 0) + mass1 / (len(c1) + 1)) / len(c2)
+        c, d, low = (c2, c3)[len(g) - 2], disc[len(g) - 1], prob(*g[1:])
+        return (max(c[g] - d[min(c[g], 3)], 0) + sum(d[i + 1] * x for i, x in enumerate(kinds[g[:-1]])) * low) / tot[g[:-1]] if tot[g[:-1]] else low
+
+    for d, _ in texts:
+        assert math.isclose(got[d].score, sum(math.log10(prob(*g)) for g in grams[d]), abs_tol=1e-6)
+        assert got[d].train_tokens == sum(c3.values())
+    assert kn.ORDER == 3
+
+
 def test_op4_meets_targets(spark, docs, texts, empty):
     rows = op4_mixing.mix(docs, keep=0.4).collect()
     assert len(rows) == len(texts)

@@ -78,4 +78,7 @@ def diversify(df: DataFrame, key: str, limit: int) -> DataFrame:
         return pd.DataFrame(out, columns=[key, "pick", "item"])
 
     kind = df.schema[key].dataType.simpleString()
+    # of items with equal concepts only the best `limit` can be picked, so no task gets a whole group
+    best = Window.partitionBy(key, F.array_sort(F.array_distinct("concepts"))).orderBy(F.col("score").desc(), "item")
+    df = df.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= limit).drop("__rank")
     return df.groupBy(key).applyInPandas(pick, f"{key} {kind}, pick int, item {df.schema['item'].dataType.simpleString()}")

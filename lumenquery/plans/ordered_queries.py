@@ -215,7 +215,7 @@ def diversify_cover(spark, d):
     """SRT-07 over documents' topics, a language a group (rows only)."""
     marks = ["tion", "ment", "able", "lich", "eau", "ado"]
     c = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(m)), m) for m in marks]))
-    x = table(spark, d, "documents").where("n_chars between 300 and 400").select(F.col("lang").alias("unit"), F.col("doc_id").alias("item"), c.alias("concepts"), F.col("n_chars").alias("score"))
+    x = table(spark, d, "documents").select(F.col("lang").alias("unit"), F.col("doc_id").alias("item"), c.alias("concepts"), F.col("n_chars").alias("score"))
     return W.diversify(x, "unit", 5)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lumenquery.functions import text as T
 from lumenquery.operators import evidence as E
 from lumenquery.operators import windows as W
+from lumenquery.plans import registry
 from lumenquery.sources import sinks, tables
 
 
@@ -59,3 +60,19 @@ def test_corrupt_json_is_kept_aside(spark, tmp_path):
 def test_shape_tolerant(spark):
     df = spark.createDataFrame([(None, [("x", 1), ("x", 2), ("", 3)])], "videos array<struct<id:string,v:int>>, items array<struct<id:string,v:int>>")
     assert [tuple(r) for r in tables.shape_tolerant(df, ["videos", "items"], "id").collect()] == [("x", 1)]
+
+
+def test_diversify_cover_takes_all_documents(spark, sf):
+    marks = ["tion", "ment", "able", "lich", "eau", "ado"]
+    by = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        by.setdefault(r.lang, []).append((r.doc_id, {m for m in marks if m in (r.text or "")}, r.n_chars))
+    want = set()
+    for lang, left in by.items():
+        seen = set()
+        for i in range(min(5, len(left))):
+            best = min(left, key=lambda r: (-len(r[1] - seen), -r[2], r[0]))
+            left.remove(best)
+            seen |= best[1]
+            want.add((lang, i + 1, best[0]))
+    assert {tuple(r) for r in registry.queries()["diversify_cover"](spark, sf).collect()} == want

@@ -15,8 +15,8 @@ def runs(c: Column) -> Column:
 
 
 def norm(c: Column) -> Column:
-    """FN-01: the runs, joined without a space."""
-    return F.array_join(runs(c), "")
+    """FN-01: the runs, joined without a space: all other characters taken out."""
+    return F.regexp_replace(F.lower(c), "[^一-鿿a-z0-9]+", "")
 
 
 def norm_spaces(c: Column) -> Column:
@@ -30,13 +30,8 @@ def norm_compact(c: Column) -> Column:
 
 
 def grams(c: Column, k: int) -> Column:
-    """FN-04: sorted distinct character k-grams."""
-
-    def of(t: Column) -> Column:
-        n = F.length(t) - k + 1
-        return F.when(n >= 1, F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(k)))))).otherwise(F.array().cast("array<string>"))
-
-    return F.transform(F.array(c), of)[0]  # bound once; else each gram would evaluate c again
+    """FN-04: sorted distinct character k-grams; an empty look-ahead match at every place, so the text is passed through once."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))))
 
 
 def gram_hash(c: Column) -> Column:

@@ -12,6 +12,7 @@ from lumenquery.sources.tables import table
 
 from .retrieval_queries import _F as FIELDS_SQL
 from .retrieval_queries import _bm25 as bm25_sql
+from .retrieval_queries import _fields
 from .text_queries import NORM
 
 RULES = [("the", None, "ther", 1.4, "shard"), ("the", "tion", "here", 0.55, "topic"), ("ing", None, "inger", 1.8, "equivalent"), ("and", None, "ther", 3.5, "original"), ("ment", "que", "amente", 1.0, "directed")]
@@ -60,7 +61,7 @@ def selection_decision(spark, d):
 
 def _cases(spark, d):
     """Three questions, ranked; gold: good documents with the term in the title are primary, other good ones required."""
-    f = R.fields(table(spark, d, "documents"))
+    f = _fields(spark, d)
     good = table(spark, d, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     ranked = gold = None
     for case, term in enumerate(("tion", "thble", "ment")):

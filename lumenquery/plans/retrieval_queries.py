@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenquery.functions import text as T
 from lumenquery.operators import retrieval as R
+from lumenquery.sources.stored import once
 from lumenquery.sources.tables import table
 
 from .text_queries import NORM, TITLE
@@ -17,7 +18,8 @@ TOPICS = [("endings", ["tion", "able"], ["the"], 3), ("french", ["eau", "ment"],
 
 
 def _fields(spark, d):
-    return R.fields(table(spark, d, "documents"))
+    """Normalised once an application; every query reads it."""
+    return once(spark, f"{d}:fields", lambda: R.fields(table(spark, d, "documents")))
 
 
 def rank_bm25f(spark, d):

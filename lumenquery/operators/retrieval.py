@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenquery.functions import text as T
 
+from .windows import numbered
+
 K1, B, TF_CAP = 1.35, 0.72, 8
 FIELD_WEIGHTS = {"title": 4.0, "body": 1.0}
 TIER_BONUS = {"direct": 12.0, "strong_related": 6.0, "topic_related": 1.0, "semantic_lead": 0.0}
@@ -47,7 +51,7 @@ def bm25f(f: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def gram_channel(f: DataFrame, query: str) -> DataFrame:
-    """JON-09, RT-02: weighted coverage of the query's 2-grams by title and by the body's head; df counts a document once."""
+    """JON-09, RT-02: weighted coverage of the query's 2-grams by title and by body; df counts a document once."""
     q = sorted({query[i : i + 2] for i in range(len(query) - 1)})
     has = lambda c: F.array_compact(F.array(*[F.when(F.contains(F.col(c), F.lit(g)), F.lit(g)) for g in q]))
     x = f.select("doc_id", has("title").alias("gt"), has("body").alias("gb"))
@@ -87,9 +91,10 @@ def relative_topk(df: DataFrame, by: str, score: str, key: str, floor: float, sh
 
 def longest_non_overlapping(hits: DataFrame) -> DataFrame:
     """JON-10: of occurrences (key, start, end, term), drop those strictly inside a longer one of the same key."""
-    o = hits.select("key", F.col("start").alias("os"), F.col("end").alias("oe"))
-    inside = (F.col("os") <= F.col("start")) & (F.col("oe") >= F.col("end")) & (F.col("oe") - F.col("os") > F.col("end") - F.col("start"))
-    return hits.join(o.withColumnRenamed("key", "ok"), (F.col("key") == F.col("ok")) & inside, "left_anti")
+    # met through the places that a hit covers, so a key's hits aren't paired with each other
+    o = hits.select("key", F.col("start").alias("os"), F.col("end").alias("oe"), F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
+    inside = hits.withColumn("at", F.col("start")).join(o, ["key", "at"]).where("oe >= end and oe - os > end - start").select("key", "start", "end").distinct()
+    return hits.join(inside, ["key", "start", "end"], "left_anti").select(*hits.columns)
 
 
 def fuse(units: DataFrame) -> DataFrame:
@@ -100,13 +105,13 @@ def fuse(units: DataFrame) -> DataFrame:
 
 def review_budget(df: DataFrame, eligible: Column, order: list, budget: int) -> DataFrame:
     """WIN-04: a running rank over eligible rows only; the first `budget` are to be reviewed."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(F.when(eligible, 1).otherwise(0)).over(w)
-    return df.withColumn("review_rank", F.when(eligible, n)).withColumn("in_budget", eligible & (n <= budget))
+    ranked = numbered(df.where(eligible), order, "review_rank").withColumn("review_rank", F.col("review_rank") + 1)
+    rest = df.where(~F.coalesce(eligible, F.lit(False))).withColumn("review_rank", F.lit(None).cast("long"))
+    return ranked.select(*df.columns, "review_rank").union(rest).withColumn("in_budget", F.coalesce(F.col("review_rank") <= budget, F.lit(False)))
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int, cap: int) -> DataFrame:
-    """SRT-05: positions of the first `cap` rows in order, one page of them, and the next offset.
+    """SRT-05: positions of the first `cap` rows in order, one page of them.
 
     Only offset + limit rows are sorted together: a limit below the window keeps each task's first ones.
     """
@@ -119,6 +124,39 @@ def page(df: DataFrame, order: list, offset: int, limit: int, cap: int) -> DataF
 def two_pools(df: DataFrame, core: Column, order: list, core_limit: int, support_limit: int) -> DataFrame:
     """SRT-06: independent limits for two pools; what overflows is rejected with a reason."""
     x = df.withColumn("pool", F.when(core, "core").otherwise("support"))
-    x = x.withColumn("pool_rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))
+    x = numbered(x.where("pool = 'core'"), order, "pool_rank").union(numbered(x.where("pool = 'support'"), order, "pool_rank"))
+    x = x.withColumn("pool_rank", (F.col("pool_rank") + 1).cast("int"))
     limit = F.when(F.col("pool") == "core", core_limit).otherwise(support_limit)
     return x.withColumn("outcome", F.when(F.col("pool_rank") <= limit, "selected").otherwise(F.concat(F.col("pool"), F.lit("_limit"))))
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """RT-03: (query_id, vec_id, cosine, rank): of (id, v), the k rows of the largest cosine with each query, itself left out; ties to the smaller id.
+
+    A block of vectors meets a block of queries as one matrix product and gives k rows a query, so what moves is a few
+    rows a pair of blocks.  Vectors that are null, empty or of length zero take no part.
+    """
+
+    def blocks(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+        df = df.where(F.size("v") > 0)
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{tag}b")).agg(F.collect_list("id").alias(f"{tag}i"), F.collect_list("v").alias(f"{tag}v")), n
+
+    left, _ = blocks(vectors, "l")
+    right, n = blocks(queries, "q")
+    met = left.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(right, "qb").select("li", "lv", "qi", "qv")
+
+    def best(batches):
+        for batch in batches:
+            for li, lv, qi, qv in batch.itertuples(index=False):
+                a, b, ids = np.stack(lv).astype(float), np.stack(qv).astype(float), np.asarray(li)
+                size = np.sqrt((b * b).sum(1))[:, None] * np.sqrt((a * a).sum(1))[None, :]
+                cosine = np.divide(b @ a.T, size, out=np.full(size.shape, -np.inf), where=size > 0)
+                cosine = np.round(np.where(np.asarray(qi)[:, None] == ids[None, :], -np.inf, cosine), 4)
+                for row, q in zip(cosine, qi, strict=True):
+                    top = np.lexsort((ids, -row))[:k]
+                    top = top[np.isfinite(row[top])]
+                    yield pd.DataFrame({"query_id": q, "vec_id": ids[top], "cosine": row[top]})
+
+    found = met.mapInPandas(best, "query_id long, vec_id long, cosine double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)

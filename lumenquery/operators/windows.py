@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenquery.sources.stored import shared_folder
+
 
 def context(df: DataFrame, key: str, order: str, text: str, reach: int) -> DataFrame:
     """WIN-01/02: the rows up to `reach` before and after, as one text with its first and last position."""
@@ -36,19 +38,37 @@ def revisions(df: DataFrame, key: str, order: list[str], value: Column) -> DataF
     return x.withColumn("revision", F.row_number().over(w)).withColumn("superseded", F.lead("v").over(w).isNotNull()).drop("before")
 
 
+def numbered(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """Rows with their place (from 0) in a global order, without one task for all: ranges, places within them, and offsets.
+
+    The ranges are written first, as sampling could cut them otherwise when a task runs again; ties beyond `order` may
+    take their places either way.
+    """
+    shared_folder(df.sparkSession)
+    x = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = x.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return x.withColumn(name, F.col("__before") + place - 1).drop("__part", "__before")
+
+
 def even_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     """SRT-09: rows at the positions round(i * (N - 1) / (n - 1)), half to even."""
     total = df.count()
     spots = df.sparkSession.range(min(n, total)).select(F.bround(F.col("id") * (total - 1) / max(1, n - 1)).cast("long").alias("pos")).distinct()
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(order)).cast("long") - 1).join(F.broadcast(spots), "pos")
+    return numbered(df, [order]).join(F.broadcast(spots), "pos")
 
 
 def apportion(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """SRT-12: floors, then one more to the largest remainders; they add up to total."""
-    s = df.agg(F.sum(weight).alias("s"))
-    x = df.join(F.broadcast(s)).withColumn("exact", F.col(weight) * total / F.col("s")).withColumn("base", F.floor("exact"))
+    """SRT-12: one each, then floors of the rest, then one more to the largest remainders; they add up to total.
+
+    df has a row a share (total at most), so its one window is bounded.
+    """
+    s = df.agg(F.sum(weight).alias("s"), F.count("*").alias("k"))
+    x = df.join(F.broadcast(s)).withColumn("exact", F.col(weight) * (F.lit(total) - F.col("k")) / F.col("s")).withColumn("base", F.floor("exact") + 1)
     left = F.lit(total) - F.sum("base").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), key))
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.floor("exact"), 9)), key))
     return x.withColumn("share", F.col("base") + F.when(rank <= left, 1).otherwise(0)).select(key, "share")
 
 

@@ -13,6 +13,7 @@ from lumenquery.sources.tables import table
 from .retrieval_queries import _F as FIELDS_SQL
 from .retrieval_queries import _bm25 as bm25_sql
 from .retrieval_queries import _fields
+from .search_queries import grams
 from .text_queries import NORM
 
 RULES = [("the", None, "ther", 1.4, "shard"), ("the", "tion", "here", 0.55, "topic"), ("ing", None, "inger", 1.8, "equivalent"), ("and", None, "ther", 3.5, "original"), ("ment", "que", "amente", 1.0, "directed")]
@@ -47,7 +48,7 @@ def query_plan(spark, d):
 def constraint_decisions(spark, d):
     """EV-01/02: axis values of a question against those of documents in its language bucket."""
     values = lambda c: F.array_compact(F.array(*[F.when(F.contains(c, F.lit(m)), F.lit(f"{a}:{m}")) for a, ms in AXES.items() for m in ms]))
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     x = table(spark, d, "documents").select("doc_id", values(T.first_line(F.col("text"))).alias("requested"), values(t).alias("found"), F.when(F.col("lang") == "fr", F.array(F.lit("stage:lich"))).otherwise(F.array().cast("array<string>")).alias("suppressed"))
     return x.where(F.size("requested") > 0).select("doc_id", E.constraint_match(F.col("requested"), F.col("found"), F.col("suppressed")).alias("match"))
 
@@ -67,7 +68,7 @@ def _cases(spark, d):
     for case, term in enumerate(("tion", "thble", "ment")):
         s = R.bm25f(f, {term: 1.0})
         r = R.page(s, [F.desc("bm25"), "doc_id"], 0, 50, 50).select(F.lit(case).alias("case_id"), F.col("doc_id").alias("item"), F.col("pos").alias("rank"))
-        g = f.join(good, "doc_id").where(F.contains("body", F.lit(term)) & (F.length("body") < 900)).select(F.lit(case).alias("case_id"), F.col("doc_id").alias("item"), F.when(F.contains("title", F.lit(term)), 2).otherwise(1).alias("gain"))
+        g = f.join(good, "doc_id").where(F.contains("body", F.lit(term))).select(F.lit(case).alias("case_id"), F.col("doc_id").alias("item"), F.when(F.contains("title", F.lit(term)), 2).otherwise(1).alias("gain"))
         ranked, gold = (r, g) if ranked is None else (ranked.union(r), gold.union(g))
     return ranked, gold
 
@@ -99,20 +100,22 @@ def audit_violations(spark, d):
 
 
 def claim_match(spark, d):
-    """CT-08, K20: claims to lines by grams, above the gate and within the band of the best."""
-    claims = table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("claim"), T.grams(T.norm(F.substring("text", 1, 80)), 2).alias("cg"))
-    units = table(spark, d, "conversations").where("turn = 0").select("conv_id", T.grams(T.norm(F.substring("text", 1, 300)), 2).alias("ug"))
-    l, r = claims.select("claim", F.size("cg").alias("n"), F.explode("cg").alias("g")), units.select("conv_id", F.explode("ug").alias("g"))
-    s = r.join(F.broadcast(l), "g").groupBy("claim", "conv_id").agg((F.count("*") / F.first("n")).alias("score"))
-    s = s.withColumn("best", F.max("score").over(Window.partitionBy("conv_id")))
-    return s.where((F.col("score") >= E.CLAIM_GATE) & (F.col("score") >= F.col("best") - E.CLAIM_BAND)).select("claim", "conv_id", F.round("score", 4).alias("score"))
+    """CT-08, K20: claims to answers by grams of whole texts, above the gate and within the band of the best."""
+    claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim"), T.grams(T.norm(F.col("text")), 4).alias("cg"))
+    units = table(spark, d, "conversations").select("conv_id", "turn", T.grams(T.norm(F.col("text")), 4).alias("ug"))
+    l, r = claims.select("claim", F.size("cg").alias("n"), F.explode("cg").alias("g")), units.select("conv_id", "turn", F.explode("ug").alias("g"))
+    s = r.join(l, "g").groupBy("claim", "conv_id", "turn").agg((F.count("*") / F.first("n")).alias("score"))
+    s = s.withColumn("best", F.max("score").over(Window.partitionBy("conv_id", "turn")))
+    return s.where((F.col("score") >= E.CLAIM_GATE) & (F.col("score") >= F.col("best") - E.CLAIM_BAND)).select("claim", "conv_id", "turn", F.round("score", 4).alias("score"))
 
 
 def roundtrip_grams(spark, d):
-    """GV-08: stored grams equal recomputed ones, both ways."""
-    t = table(spark, d, "documents").select("doc_id", T.norm(F.substring("text", 1, 300)).alias("t"))
-    x = t.select("doc_id", T.grams(F.col("t"), 2).alias("stored"), T.grams(F.concat(F.col("t"), F.lit("")), 2).alias("again"))
-    return x.select("doc_id", (F.size(F.array_except("stored", "again")) + F.size(F.array_except("again", "stored"))).alias("differences"), F.size("stored").alias("n"))
+    """GV-08: the index's stored grams against those of the texts as they are now; of documents that changed since, how many differ."""
+    now = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" zzqq"))).otherwise(F.col("text"))
+    again = table(spark, d, "documents").select("doc_id", F.explode(T.grams(T.norm(now), 2)).alias("g")).select("doc_id", T.gram_hash(F.col("g")).alias("gram_id"), F.lit(1).alias("now"))
+    stored = grams(spark, d).where("channel = 'body'").select("doc_id", "gram_id", F.lit(1).alias("was"))
+    x = stored.join(again, ["doc_id", "gram_id"], "full")
+    return x.groupBy("doc_id").agg(F.count_if(F.col("was").isNull() | F.col("now").isNull()).alias("differences"), F.count("was").alias("n"))
 
 
 def feedback_parse(spark, d):
@@ -125,20 +128,25 @@ def feedback_parse(spark, d):
 
 
 def feedback_similarity(spark, d):
-    """JON-14, K9: weighted Jaccards of pairs that share a gram, with the strict and loose gates."""
-    q = table(spark, d, "benchmark").where("item_id < 20").select("item_id", F.substring(F.lower("text"), 1, 120).alias("t"))
-    q = q.select("item_id", T.grams(T.norm(F.col("t")), 2).alias("g"), F.array_distinct(F.split(F.trim("t"), r"\s+")).alias("w"))
-    a, b = q.select(F.col("item_id").alias("a"), F.col("g").alias("ga"), F.col("w").alias("wa")), q.select(F.col("item_id").alias("b"), F.col("g").alias("gb"), F.col("w").alias("wb"))
-    sim = F.round(0.75 * T.jaccard(F.col("wa"), F.col("wb")) + 0.25 * T.jaccard(F.col("ga"), F.col("gb")), 4)
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", sim.alias("sim")).where("sim > 0.1").withColumn("gate", F.when(F.col("sim") >= 0.72, "strict").when(F.col("sim") >= 0.38, "positive").otherwise("none"))
+    """JON-14, K9: weighted Jaccards of words, grams and concepts of pairs that share a word, with the strict and loose gates."""
+    t = F.lower("text")
+    q = table(spark, d, "benchmark").select("item_id", T.grams(T.norm(t), 2).alias("g"), F.array_distinct(F.split(F.trim(t), r"\s+")).alias("w"), F.array_distinct(F.regexp_extract_all(t, F.lit("([a-z]{7,})"), F.lit(1))).alias("c"))
+    side = lambda n: q.select(F.col("item_id").alias(n), *[F.col(x).alias(x + n) for x in "gwc"])
+    word = lambda n: q.select(F.col("item_id").alias(n), F.explode("w").alias("word"))
+    met = word("a").join(word("b"), "word").where("a < b").select("a", "b").distinct()
+    j = met.join(side("a"), "a").join(side("b"), "b")
+    sim = F.round(0.55 * T.jaccard(F.col("wa"), F.col("wb")) + 0.25 * T.jaccard(F.col("ga"), F.col("gb")) + 0.2 * T.jaccard(F.col("ca"), F.col("cb")), 4)
+    return j.select("a", "b", sim.alias("sim")).where("sim > 0.1").withColumn("gate", F.when(F.col("sim") >= 0.72, "strict").when(F.col("sim") >= 0.38, "positive").otherwise("none"))
 
 
 def snapshot_diff(spark, d):
-    """ST-01, JON-04: rows of a later snapshot that the index doesn't have, classified, with running counts."""
+    """ST-01, JON-04: what the snapshot of the first day doesn't have, classified, with a running count by user."""
     e = table(spark, d, "events")
-    known = e.where("event_id < 5000").select("user_id", "event_type").distinct()
-    new = e.where("event_id >= 5000").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event")).join(known, ["user_id", "event_type"], "left_anti")
-    return new.select("user_id", "event_type", "first_event", F.when(F.col("event_type") == "error", "excluded").when(F.col("event_type") == "view", "review_pending").otherwise("kept").alias("status"))
+    day = F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))
+    known = e.where(F.col("ts") < day).select("user_id", "event_type").distinct()
+    new = e.where(F.col("ts") >= day).groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event")).join(known, ["user_id", "event_type"], "left_anti")
+    status = F.when(F.col("event_type") == "error", "excluded").when(F.col("event_type") == "view", "review_pending").otherwise("kept")
+    return new.select("user_id", "event_type", "first_event", status.alias("status"), F.row_number().over(Window.partitionBy("user_id").orderBy("first_event")).alias("running"))
 
 
 def state_machine(spark, d):
@@ -176,11 +184,13 @@ _UNITS = "lower(text)"
 for _s in sorted(SEPARATORS, key=lambda s: (-len(s), s)):
     _UNITS = f"replace({_UNITS}, {'chr(10)' if _s == chr(10) else repr(_s)}, chr(1))"
 _G2 = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+_JAC = lambda x: f"CASE WHEN len(a.{x}) = 0 OR len(b.{x}) = 0 THEN 0.0 ELSE len(list_intersect(a.{x}, b.{x})) / len(list_distinct(list_concat(a.{x}, b.{x}))) END"
+_G4 = "list_distinct(list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4)))"
 _AX = lambda c: "list_filter([" + ", ".join(f"CASE WHEN contains({c}, '{m}') THEN '{a}:{m}' END" for a, ms in AXES.items() for m in ms) + "], lambda x: x IS NOT NULL)"
 _CASES = {0: "tion", 1: "thble", 2: "ment"}
 _METRICS = f"""{FIELDS_SQL}, {', '.join(bm25_sql({t: 1.0}, f's{c}', f'p{c}') for c, t in _CASES.items())},
 ranked AS ({' UNION ALL '.join(f"SELECT {c} AS case_id, doc_id AS item, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM s{c}" for c in _CASES)}),
-gold AS ({' UNION ALL '.join(f"SELECT {c} AS case_id, doc_id AS item, CASE WHEN contains(title, '{t}') THEN 2 ELSE 1 END AS gain FROM f JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND contains(body, '{t}') AND length(body) < 900" for c, t in _CASES.items())}),
+gold AS ({' UNION ALL '.join(f"SELECT {c} AS case_id, doc_id AS item, CASE WHEN contains(title, '{t}') THEN 2 ELSE 1 END AS gain FROM f JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND contains(body, '{t}')" for c, t in _CASES.items())}),
 gi AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, item) AS i FROM gold),
 ideal AS (SELECT case_id, count(*) AS expected, sum(gain / log2(i + 1)) FILTER (WHERE i <= 50) AS idcg FROM gi GROUP BY 1),
 per AS (SELECT case_id, count(*) AS found, sum(gain / log2(rank + 1)) AS dcg, min(CASE WHEN gain = 2 THEN rank END) AS fp FROM ranked JOIN gold USING (case_id, item) WHERE rank <= 50 GROUP BY 1),
@@ -192,7 +202,7 @@ ORACLES = {
     "query_plan": rf"""WITH u AS (SELECT item_id AS qid, lower(text) AS text, list_filter(list_transform(string_split({_UNITS}, chr(1)), lambda x: trim(regexp_replace(x, '^[\s.,;]+|[\s.,;]+$', '', 'g'))), lambda x: x <> '') AS units FROM benchmark),
 v AS (SELECT qid, text, list_filter(units, lambda x, i: list_position(units, x) = i) AS units FROM u)
 SELECT qid, CAST(len(units) AS INTEGER) AS n_units, CASE WHEN contains(text, 'idiot') THEN 'boundary' WHEN length(text) > 600 THEN 'systematic' WHEN len(units) > 1 THEN 'multi_issue' WHEN contains(text, 'whwh') THEN 'diagnostic' ELSE 'focused' END AS strategy, md5(array_to_string(units, '|')) AS units_md5 FROM v""",
-    "constraint_decisions": f"""WITH x AS (SELECT doc_id, lang, {_AX("split_part(text, chr(10), 1)")} AS rq, {_AX('substr(text, 1, 200)')} AS fd FROM documents)
+    "constraint_decisions": f"""WITH x AS (SELECT doc_id, lang, {_AX("split_part(text, chr(10), 1)")} AS rq, {_AX('text')} AS fd FROM documents)
 SELECT doc_id, CASE WHEN lang = 'fr' AND list_contains(rq, 'stage:lich') AND NOT list_has_any(rq, fd) THEN 'conflict' WHEN len(fd) = 0 THEN 'unspecified_support' WHEN NOT list_has_any(rq, fd) THEN 'conflict' WHEN len(list_intersect(rq, fd)) < len(rq) THEN 'partial_support' WHEN len(rq) = 1 AND len(fd) > 1 THEN 'mixed_support' ELSE 'exact' END AS match FROM x WHERE len(rq) > 0""",
     "selection_decision": "SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN n_chars < 100 THEN 'too_short' WHEN lang NOT IN ('en', 'de') THEN 'language' ELSE 'accepted' END AS decision FROM documents LEFT JOIN labels USING (doc_id)",
     "ir_metrics": f"WITH {_METRICS} SELECT * FROM m",
@@ -201,17 +211,19 @@ SELECT metric, value, CASE WHEN value IS NULL THEN 'missing' WHEN CASE metric WH
     "blind_pairs_scores": """WITH p AS (SELECT a.conv_id, length(a.text) AS na, length(b.text) AS nb, substr(md5(CAST(a.conv_id AS VARCHAR)), 1, 1) < '8' AS swapped FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
 x AS (SELECT swapped, CASE WHEN swapped THEN nb ELSE na END AS l, CASE WHEN swapped THEN na ELSE nb END AS r FROM p) SELECT swapped, count(*) FILTER (WHERE l > r) AS left_wins, count(*) FILTER (WHERE r > l) AS right_wins, round(avg(l), 4) AS left_mean FROM x GROUP BY 1""",
     "audit_violations": "SELECT conv_id, turn, 'empty_unit' AS code FROM conversations WHERE length(trim(text)) = 0 UNION ALL SELECT conv_id, turn, 'too_long' FROM conversations WHERE length(text) > 400 UNION ALL SELECT conv_id, turn, 'no_label' FROM conversations WHERE role NOT IN ('user', 'assistant', 'system') UNION ALL SELECT conv_id, turn, 'system_late' FROM conversations WHERE role = 'system' AND turn > 0 UNION ALL SELECT conv_id, turn, 'link' FROM conversations WHERE contains(text, 'http')",
-    "claim_match": f"""WITH a AS (SELECT item_id AS claim, {NORM.format('substr(text, 1, 80)')} AS t FROM benchmark WHERE item_id < 20), b AS (SELECT conv_id, {NORM.format('substr(text, 1, 300)')} AS u FROM conversations WHERE turn = 0),
-s AS (SELECT claim, conv_id, CAST(len(list_intersect({_G2.format('t')}, {_G2.format('u')})) AS DOUBLE) / len({_G2.format('t')}) AS score FROM a, b), w AS (SELECT *, max(score) OVER (PARTITION BY conv_id) AS best FROM s)
-SELECT claim, conv_id, round(score, 4) AS score FROM w WHERE score >= 0.34 AND score >= best - 0.05""",
-    "roundtrip_grams": f"WITH t AS (SELECT doc_id, {NORM.format('substr(text, 1, 300)')} AS t FROM documents) SELECT doc_id, 0 AS differences, CAST(len({_G2.format('t')}) AS INTEGER) AS n FROM t",
+    "claim_match": f"""WITH a AS (SELECT item_id AS claim, {_G4.format(NORM.format('text'))} AS c FROM benchmark), b AS (SELECT conv_id, turn, {_G4.format(NORM.format('text'))} AS u FROM conversations), i AS (SELECT claim, conv_id, turn, count(*) AS i FROM (SELECT claim, unnest(c) AS g FROM a) JOIN (SELECT conv_id, turn, unnest(u) AS g FROM b) USING (g) GROUP BY 1, 2, 3),
+s AS (SELECT claim, conv_id, turn, i / len(c) AS score FROM i JOIN a USING (claim)), w AS (SELECT *, max(score) OVER (PARTITION BY conv_id, turn) AS best FROM s)
+SELECT claim, conv_id, turn, round(score, 4) AS score FROM w WHERE score >= 0.34 AND score >= best - 0.05""",
+    "roundtrip_grams": f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS a, {NORM.format("CASE WHEN doc_id % 50 = 0 THEN text || ' zzqq' ELSE text END")} AS b FROM documents), g AS (SELECT doc_id, {_G2.format('a')} AS ga, {_G2.format('b')} AS gb FROM t)
+SELECT doc_id, len(list_filter(ga, lambda x: NOT list_contains(gb, x))) + len(list_filter(gb, lambda x: NOT list_contains(ga, x))) AS differences, len(ga) AS n FROM g WHERE len(ga) + len(gb) > 0""",
     "feedback_parse": r"""WITH c AS (SELECT conv_id, lower(unnest(regexp_split_to_array(text, '[.;!?\n]+'))) AS s FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, CASE WHEN contains(s, 'not ') OR contains(s, 'no ') THEN 'n' WHEN contains(s, 'able') OR contains(s, 'ing') THEN 'p' ELSE 'u' END AS p FROM c WHERE trim(s) <> ''),
 g AS (SELECT conv_id, count(*) FILTER (WHERE p = 'p') AS helpful, count(*) FILTER (WHERE p = 'n') AS irrelevant, count(*) AS clauses FROM p GROUP BY 1) SELECT *, helpful > 0 AND irrelevant > 0 AS conflict FROM g""",
-    "feedback_similarity": rf"""WITH q AS (SELECT item_id, substr(lower(text), 1, 120) AS t FROM benchmark WHERE item_id < 20), n AS (SELECT item_id, {NORM.format('t')} AS n, list_distinct(regexp_split_to_array(trim(t), '\s+')) AS w FROM q), g AS (SELECT item_id, {_G2.format('n')} AS g, w FROM n),
-s AS (SELECT a.item_id AS a, b.item_id AS b, round(0.75 * (len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))) + 0.25 * (len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))), 4) AS sim FROM g a JOIN g b ON a.item_id < b.item_id)
+    "feedback_similarity": rf"""WITH q AS (SELECT item_id, lower(text) AS t FROM benchmark), n AS (SELECT item_id, {NORM.format('t')} AS n, list_distinct(regexp_split_to_array(trim(t), '\s+')) AS w, list_distinct(regexp_extract_all(t, '([a-z]{{7,}})', 1)) AS c FROM q), g AS (SELECT item_id, {_G2.format('n')} AS g, w, c FROM n),
+s AS (SELECT a.item_id AS a, b.item_id AS b, round(0.55 * {_JAC('w')} + 0.25 * {_JAC('g')} + 0.2 * {_JAC('c')}, 4) AS sim FROM g a JOIN g b ON a.item_id < b.item_id AND list_has_any(a.w, b.w))
 SELECT a, b, sim, CASE WHEN sim >= 0.72 THEN 'strict' WHEN sim >= 0.38 THEN 'positive' ELSE 'none' END AS gate FROM s WHERE sim > 0.1""",
-    "snapshot_diff": "SELECT user_id, event_type, min(event_id) AS first_event, CASE event_type WHEN 'error' THEN 'excluded' WHEN 'view' THEN 'review_pending' ELSE 'kept' END AS status FROM events e WHERE event_id >= 5000 AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id < 5000 AND k.user_id = e.user_id AND k.event_type = e.event_type) GROUP BY 1, 2",
+    "snapshot_diff": """WITH n AS (SELECT user_id, event_type, min(event_id) AS first_event FROM events e WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.ts < TIMESTAMP '2024-01-02 00:00:00' AND k.user_id = e.user_id AND k.event_type = e.event_type) GROUP BY 1, 2)
+SELECT user_id, event_type, first_event, CASE event_type WHEN 'error' THEN 'excluded' WHEN 'view' THEN 'review_pending' ELSE 'kept' END AS status, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS INTEGER) AS running FROM n""",
     "state_machine": "WITH x AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) FILTER (WHERE b = 'purchase' AND event_type = 'signup') AS invalid, count(*) FILTER (WHERE event_type = 'error') AS attempts, max(CASE WHEN event_type = 'error' THEN ts END) AS last_attempt FROM x GROUP BY 1",
     "keep_timestamp": "WITH j AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END = o_orderstatus AS kept, o_orderdate FROM orders) SELECT kept, count(*) AS n, max(CASE WHEN kept THEN o_orderdate ELSE TIMESTAMP '2030-01-01 00:00:00' END) AS latest FROM j GROUP BY 1",
     "size_reduction": "WITH r AS (SELECT 1 - CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS DOUBLE) / greatest(1, length(html)) AS r FROM pages) SELECT round(avg(r), 4) AS avg_reduction, round(min(r), 4) AS min_reduction, count(*) FILTER (WHERE r >= 0.5) AS passed FROM r",

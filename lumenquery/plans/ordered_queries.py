@@ -67,7 +67,8 @@ def time_range_semi(spark, d):
 
 
 def new_arrivals_anti(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """JON-04: customers that no order in progress knows."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -110,9 +111,15 @@ def status_counts(spark, d):
 
 
 def status_partition(spark, d):
-    """JON-21: the classes are exclusive and add up."""
-    o = table(spark, d, "orders")
-    return o.agg(F.count("*").alias("collected"), F.count_if(F.col("o_orderstatus") == "F").alias("ready"), F.count_if(F.col("o_orderstatus") == "O").alias("pending"), F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("excluded")).withColumn("reconciled", F.expr("ready + pending + excluded = collected"))
+    """JON-21: two tables reconciled: every order is ready, pending or excluded by its lines, and the classes add up; the latest ready one."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("back"))
+    o = table(spark, d, "orders").join(li, "o_orderkey", "full")
+    ready = F.col("o_orderstatus").isNotNull() & (F.coalesce("lines", F.lit(0)) > 0) & (F.coalesce("back", F.lit(0)) == 0)
+    pending = F.col("o_orderstatus").isNotNull() & F.col("lines").isNull()
+    excluded = F.coalesce("back", F.lit(0)) > 0
+    x = o.select("o_orderkey", "o_orderdate", ready.alias("ready"), pending.alias("pending"), excluded.alias("excluded"), F.col("o_orderstatus").isNull().alias("unknown"))
+    a = x.agg(F.count("*").alias("collected"), *[F.count_if(c).alias(c) for c in ("ready", "pending", "excluded", "unknown")], F.max_by("o_orderkey", F.when(F.col("ready"), F.struct("o_orderdate", "o_orderkey"))).alias("latest_ready"))
+    return a.withColumn("reconciled", F.expr("ready + pending + excluded + unknown = collected"))
 
 
 def preference_counts(spark, d):
@@ -128,8 +135,12 @@ def family_intersection(spark, d):
 
 
 def eighteen_key_order(spark, d):
-    """SRT-03: a long lexicographic order within groups, as row numbers."""
-    keys = [F.desc("l_returnflag"), "l_linestatus", F.desc(F.col("l_discount") > 0.05), F.desc(F.col("l_quantity") > 25), "l_shipdate", F.desc("l_extendedprice"), "l_tax", "l_orderkey", "l_linenumber"]
+    """SRT-03: an order by eighteen keys within groups, as row numbers."""
+    c = F.col
+    keys = [
+        F.desc("l_returnflag"), "l_linestatus", F.desc(c("l_discount") > 0.05), F.desc(c("l_quantity") > 25), F.desc(c("l_tax") < 0.02), F.desc(c("l_quantity") > 40), F.desc(c("l_orderkey") % 2 == 0), F.desc(c("l_linenumber") > 3),
+        F.desc(c("l_discount") > 0.02), F.desc(c("l_extendedprice") > 30000), F.desc(F.year("l_shipdate")), F.month("l_shipdate"), "l_shipdate", F.desc("l_extendedprice"), "l_tax", "l_partkey", "l_orderkey", "l_linenumber",
+    ]
     x = table(spark, d, "lineitem").withColumn("rank", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)))
     return x.where("rank <= 10").select("l_suppkey", "rank", "l_orderkey", "l_linenumber")
 
@@ -140,8 +151,8 @@ def even_sample(spark, d):
 
 def shard_mod(spark, d):
     """SRT-11: an exact cover by position."""
-    x = table(spark, d, "supplier").withColumn("pos", F.row_number().over(Window.orderBy("s_suppkey")) - 1)
-    return x.groupBy((F.col("pos") % 4).alias("shard")).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
+    x = W.numbered(table(spark, d, "supplier"), ["s_suppkey"])
+    return x.groupBy((F.col("pos") % 4).cast("int").alias("shard")).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
 
 
 def apportion(spark, d):
@@ -237,7 +248,7 @@ k AS (SELECT user_id, event_id, value, least(2, CAST(floor(CAST((a - lo) * 3 AS
     "actor_forward_fill": "SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS actor FROM conversations",
     "role_unpivot_merge": "SELECT conv_id, md5(text) AS text_md5, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, min(turn) AS first_turn FROM conversations GROUP BY 1, 2",
     "time_range_semi": "SELECT event_id, user_id, event_type FROM events WHERE EXISTS (SELECT 1 FROM (VALUES (1, 30), (100, 160), (500, 505)) r(lo, hi) WHERE user_id BETWEEN lo AND hi)",
-    "new_arrivals_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "new_arrivals_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "mapping_semi": "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "lookup_default": "SELECT lang, coalesce(CAST(quality AS VARCHAR), 'missing') AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "five_way_ledger": """WITH li AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1),
@@ -247,13 +258,15 @@ SELECT o_orderkey, coalesce(r_name, 'missing') AS region, coalesce(a, b, c) AS d
     "layer_full_outer": f"""WITH g AS (SELECT user_id, {_CLAMP.format('purchase', 'error', 6, -10)} AS g FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1), l AS (SELECT user_id, {_CLAMP.format('signup', 'view', 8, -2)} AS l FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1)
 SELECT user_id, CAST(coalesce(g, 0) AS BIGINT) AS global_part, CAST(coalesce(l, 0) AS BIGINT) AS local_part, CAST(coalesce(g, 0) + coalesce(l, 0) AS BIGINT) AS total FROM g FULL JOIN l USING (user_id)""",
     "status_counts": "SELECT coalesce(o_orderstatus, '') AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers, max(o_orderdate) AS latest FROM orders GROUP BY 1",
-    "status_partition": "SELECT count(*) AS collected, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS excluded, true AS reconciled FROM orders",
+    "status_partition": """WITH li AS (SELECT l_orderkey, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') AS back FROM lineitem GROUP BY 1),
+x AS (SELECT coalesce(o_orderkey, l_orderkey) AS k, o_orderdate, o_orderstatus IS NOT NULL AND coalesce(lines, 0) > 0 AND coalesce(back, 0) = 0 AS r, o_orderstatus IS NOT NULL AND lines IS NULL AS p, coalesce(back, 0) > 0 AS e, o_orderstatus IS NULL AS u FROM orders FULL JOIN li ON l_orderkey = o_orderkey)
+SELECT count(*) AS collected, count(*) FILTER (WHERE r) AS ready, count(*) FILTER (WHERE p) AS pending, count(*) FILTER (WHERE e) AS excluded, count(*) FILTER (WHERE u) AS unknown, (SELECT k FROM x WHERE r ORDER BY o_orderdate DESC, k DESC LIMIT 1) AS latest_ready, count(*) FILTER (WHERE r) + count(*) FILTER (WHERE p) + count(*) FILTER (WHERE e) + count(*) FILTER (WHERE u) = count(*) AS reconciled FROM x""",
     "preference_counts": "WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS v, count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN v > c THEN 'reader' WHEN c > v THEN 'actor' ELSE 'even' END AS kind FROM e WHERE v >= 2 AND c >= 2",
     "family_intersection": "SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase', 'signup') GROUP BY 1 HAVING count(DISTINCT event_type) = 3",
-    "eighteen_key_order": "WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag DESC, l_linestatus, (l_discount > 0.05) DESC, (l_quantity > 25) DESC, l_shipdate, l_extendedprice DESC, l_tax, l_orderkey, l_linenumber) AS rank FROM lineitem) SELECT l_suppkey, CAST(rank AS INTEGER) AS rank, l_orderkey, l_linenumber FROM r WHERE rank <= 10",
+    "eighteen_key_order": "WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag DESC, l_linestatus, (l_discount > 0.05) DESC, (l_quantity > 25) DESC, (l_tax < 0.02) DESC, (l_quantity > 40) DESC, (l_orderkey % 2 = 0) DESC, (l_linenumber > 3) DESC, (l_discount > 0.02) DESC, (l_extendedprice > 30000) DESC, year(l_shipdate) DESC, month(l_shipdate), l_shipdate, l_extendedprice DESC, l_tax, l_partkey, l_orderkey, l_linenumber) AS rank FROM lineitem) SELECT l_suppkey, CAST(rank AS INTEGER) AS rank, l_orderkey, l_linenumber FROM r WHERE rank <= 10",
     "even_sample": "WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer), s AS (SELECT DISTINCT CAST(round_even(i * ((SELECT count(*) FROM customer) - 1) / 11.0, 0) AS BIGINT) AS pos FROM range(12) t(i)) SELECT pos, c_custkey FROM p JOIN s USING (pos)",
     "shard_mod": "WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier) SELECT CAST(pos % 4 AS INTEGER) AS shard, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM p GROUP BY 1",
-    "apportion": "WITH c AS (SELECT c_mktsegment, count(*) * 90.0 / (SELECT count(*) FROM customer) AS e FROM customer GROUP BY 1), r AS (SELECT c_mktsegment, floor(e) AS b, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, c_mktsegment) AS k, 90 - sum(floor(e)) OVER () AS l FROM c) SELECT c_mktsegment, CAST(b + CASE WHEN k <= l THEN 1 ELSE 0 END AS BIGINT) AS share FROM r",
+    "apportion": "WITH c AS (SELECT c_mktsegment, count(*) * (90 - (SELECT count(DISTINCT c_mktsegment) FROM customer)) / (SELECT count(*) FROM customer) AS e FROM customer GROUP BY 1), r AS (SELECT c_mktsegment, floor(e) + 1 AS b, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, c_mktsegment) AS k, 90 - sum(floor(e) + 1) OVER () AS l FROM c) SELECT c_mktsegment, CAST(b + CASE WHEN k <= l THEN 1 ELSE 0 END AS BIGINT) AS share FROM r",
     "scd_revisions": "WITH x AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), y AS (SELECT * FROM x WHERE b IS NULL OR b <> event_type) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS revision, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS superseded FROM y",
     "latest_state": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS attempts FROM events) SELECT user_id, event_type AS status, event_id AS last_event, attempts FROM r WHERE k = 1",
     "freshness_report": "WITH x AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), a AS (SELECT user_id, last, date_sub('day', last, TIMESTAMP '2024-12-31 00:00:00') AS age FROM x) SELECT user_id, age AS age_days, CASE WHEN age > 30 THEN 'stale' WHEN age > 7 THEN 'due' WHEN last > TIMESTAMP '2024-12-31 00:00:00' THEN 'future' ELSE 'fresh' END AS status FROM a",

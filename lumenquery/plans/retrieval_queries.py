@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenquery.functions import text as T
+from lumenquery.operators import questions as Q
 from lumenquery.operators import retrieval as R
 from lumenquery.sources.stored import once
 from lumenquery.sources.tables import table
@@ -86,12 +87,9 @@ def topic_relative_topk(spark, d):
 
 
 def term_overlaps(spark, d):
-    """JON-10: occurrences of nested terms in titles, those inside longer ones dropped."""
+    """JON-10: occurrences of nested terms in whole texts, those inside longer ones dropped; places from 0."""
     terms = ["the", "ther", "there", "her", "tion", "ation"]
-    t = T.norm(F.substring(T.first_line(F.col("text")), 1, 300))
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("key"), t.alias("t"))
-    at = lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.lit(len(w))) == w), lambda i: F.struct(F.lit(w).alias("term"), i.alias("start"), (i + len(w)).alias("end")))
-    hits = x.where("t <> ''").select("key", F.explode(F.concat(*[at(w) for w in terms])).alias("h")).select("key", "h.*")
+    hits = Q.occurrences(_fields(spark, d).select(F.col("doc_id").alias("key"), "body"), ["key"], "body", terms)
     return R.longest_non_overlapping(hits)
 
 
@@ -125,12 +123,9 @@ def recall_gate(spark, d):
 
 
 def embedding_topk_cosine(spark, d):
-    """The semantic channel: cosine of every vector with the five first, three best each."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    q = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    c = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("e", "q") / F.sqrt(dot("e", "e") * dot("q", "q")), 4).alias("cosine"))
-    return R.relative_topk(c, "query_id", "cosine", "vec_id", -1.0, -1e9, 3)
+    """The semantic channel: cosine of every vector with the stated queries, ids divisible by 20; three best each."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.cosine_topk(e, e.where("id % 20 = 0"), 3)
 
 
 QUERIES = {f.__name__: f for f in (rank_bm25f, bm25f_scores, inverted_index_postings, field_avg_len, gram_channel, hybrid_rank, review_budget, manifest_page, topic_rule_score, topic_coverage, topic_relative_topk, term_overlaps, fusion_argmin, two_pool_quota, retrieval_policy, recall_gate, embedding_topk_cosine)}
@@ -186,13 +181,13 @@ ORACLES = {
     "topic_rule_score": f"WITH {_TOPIC} SELECT * FROM ts",
     "topic_coverage": f"WITH {_TOPIC}, k AS (SELECT doc_id, count(*) AS k FROM ts GROUP BY doc_id) SELECT lang, count(k) AS assigned, count(*) FILTER (WHERE k IS NULL) AS fallback, count(*) FILTER (WHERE k > 1) AS multi FROM documents LEFT JOIN k USING (doc_id) GROUP BY lang",
     "topic_relative_topk": f"WITH {_TOPIC}, b AS (SELECT *, max(score) OVER (PARTITION BY topic) AS best FROM ts), r AS (SELECT doc_id, topic, score, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id) AS rank FROM b WHERE score >= greatest(8.0, best * 0.4)) SELECT doc_id, topic, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6",
-    "term_overlaps": f"""WITH t AS (SELECT doc_id AS key, {NORM.format('substr(' + TITLE + ', 1, 300)')} AS t FROM documents), p AS (SELECT key, t, unnest(range(1, length(t) + 1)) AS start FROM t),
-h AS (SELECT key, term, start, start + length(term) AS e FROM p, (VALUES ('the'), ('ther'), ('there'), ('her'), ('tion'), ('ation')) w(term) WHERE substr(t, start, length(term)) = term)
-SELECT key, term, CAST(start AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.key = h.key AND o.start <= h.start AND o.e >= h.e AND o.e - o.start > h.e - h.start)""",
+    "term_overlaps": f"""WITH t AS (SELECT doc_id AS key, {NORM.format('text')} AS t FROM documents), p AS (SELECT key, t, unnest(range(1, length(t) + 1)) AS i FROM t),
+h AS (SELECT key, term, i - 1 AS s, i - 1 + length(term) AS e FROM p, (VALUES ('the'), ('ther'), ('there'), ('her'), ('tion'), ('ation')) w(term) WHERE substr(t, i, length(term)) = term)
+SELECT key, term, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.key = h.key AND o.s <= h.s AND o.e >= h.e AND o.e - o.s > h.e - h.s)""",
     "fusion_argmin": f"WITH {_F}, " + ", ".join(_bm25(w, f"s{n}", f"p{n}") for n, w in _UNITS.items()) + ", u AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS unit, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank, CASE WHEN n_terms > 1 THEN 'direct' ELSE 'strong_related' END AS tier, bm25 FROM s{n}" for n in _UNITS)
     + "), v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN tier = 'direct' THEN 0 ELSE 1 END, rank, -bm25, unit) AS k, min(rank) OVER (PARTITION BY doc_id) AS best_rank, count(*) OVER (PARTITION BY doc_id) AS n_units FROM u WHERE rank <= 40) SELECT doc_id, CAST(best_rank AS INTEGER) AS best_rank, n_units, unit, tier FROM v WHERE k = 1",
     "two_pool_quota": f"WITH {_HYBRID}, x AS (SELECT h.*, CASE WHEN quality = 1 AND tier = 'direct' THEN 'core' ELSE 'support' END AS pool FROM h JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY effective DESC, doc_id) AS k FROM x) SELECT doc_id, pool, CAST(k AS INTEGER) AS pool_rank, CASE WHEN k <= CASE WHEN pool = 'core' THEN 6 ELSE 4 END THEN 'selected' ELSE pool || '_limit' END AS outcome FROM r",
     "retrieval_policy": f"WITH {_HYBRID} SELECT tier, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN penalty > 0 THEN 'excluded_term' ELSE 'eligible' END AS reason, count(*) AS n, max(effective) AS best FROM h LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "recall_gate": f"WITH {_HYBRID} SELECT doc_id, tier FROM h WHERE tier <> 'semantic_lead' OR score >= 12",
-    "embedding_topk_cosine": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.e, q.e), 4) AS cosine FROM e JOIN e q ON q.vec_id < 5 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
+    "embedding_topk_cosine": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.e, q.e), 4) AS cosine FROM e JOIN e q ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
 }

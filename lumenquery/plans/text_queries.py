@@ -29,25 +29,26 @@ def norm_variants(spark, d):
 
 
 def char_ngrams_distinct(spark, d):
-    g = T.grams(T.norm(T.first_line(F.col("text"))), 3)
-    return docs(spark, d).select("doc_id", F.size(g).alias("n_grams"), F.md5(F.array_join(g, ",").cast("binary")).alias("grams_md5"))
+    g = T.grams(T.norm(F.col("text")), 3)
+    return docs(spark, d).select("doc_id", g.alias("g")).select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", ",").cast("binary")).alias("grams_md5"))
 
 
 def gram_df(spark, d):
-    """AGG-15: document frequency of hashed grams, and their weight."""
+    """AGG-15: document frequency of grams of whole texts, and their weight; counted first, then hashed."""
     x = docs(spark, d)
-    n = x.count()
-    g = x.select("doc_id", F.explode(T.grams(T.norm(T.first_line(F.col("text"))), 2)).alias("gram"))
-    return g.groupBy(T.gram_hash(F.col("gram")).alias("gram_id")).agg(F.count("*").alias("df")).withColumn("weight", F.round(F.log(1 + (F.lit(n) + 1) / (F.col("df") + 1)), 4))
+    n = F.broadcast(x.agg(F.count("*").alias("n")))
+    g = x.select(F.explode(T.grams(T.norm(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    return g.join(n).select(T.gram_hash(F.col("gram")).alias("gram_id"), "df", F.round(F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)), 4).alias("weight"))
 
 
 def jaccard_items(spark, d):
-    """SET-06 as a join on shared grams: benchmark items and the documents whose titles share 3-grams."""
-    b = table(spark, d, "benchmark").select("item_id", T.grams(T.norm(F.substring("text", 1, 60)), 3).alias("ga"))
-    x = docs(spark, d).select("doc_id", T.grams(T.norm(F.substring(T.first_line(F.col("text")), 1, 60)), 3).alias("gb"))
+    """SET-06 as a join on shared words: benchmark items and documents, whole texts, words of five letters or more."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{5,})"), F.lit(1)))
+    b = table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("ga"))
+    x = docs(spark, d).select("doc_id", words(F.col("text")).alias("gb"))
     left, right = b.select("item_id", F.size("ga").alias("na"), F.explode("ga").alias("g")), x.select("doc_id", F.size("gb").alias("nb"), F.explode("gb").alias("g"))
-    i = right.join(F.broadcast(left), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return i.select("item_id", "doc_id", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("jaccard")).where("jaccard >= 0.2")
+    i = right.join(left, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return i.select("item_id", "doc_id", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("jaccard")).where("jaccard >= 0.02")
 
 
 def text_match_score(spark, d):
@@ -55,7 +56,7 @@ def text_match_score(spark, d):
     needle = F.lit("thereand")
     g = T.grams(needle, 2)
     t = T.norm(F.col("text"))
-    return docs(spark, d).select("doc_id", F.round(T.coverage(needle, t, g, T.grams(F.substring(t, 1, 400), 2)), 4).alias("match_score"))
+    return docs(spark, d).select("doc_id", F.round(T.coverage(needle, t, g, T.grams(t, 2)), 4).alias("match_score"))
 
 
 def letter_ratio(spark, d):
@@ -100,10 +101,11 @@ def stable_ids(spark, d):
 
 
 def table_digest(spark, d):
-    """AGG-17: one digest a source, over its rows' digests in order; rows are reduced to hashes first."""
-    x = docs(spark, d).select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda r: r["h"]), "")
-    return x.groupBy("source").agg(F.sha2(lines.cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
+    """AGG-17: one digest a source, over its blocks' digests in order, a block's over its rows': no source is gathered whole."""
+    x = docs(spark, d).select("source", "doc_id", F.floor(F.col("doc_id") / 100).alias("block"), F.md5(F.col("text").cast("binary")).alias("h"))
+    chain = lambda order, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, h))), lambda r: r[h]), "").cast("binary"), 256)
+    blocks = x.groupBy("source", "block").agg(chain("doc_id", "h").alias("b"), F.count("*").alias("n"))
+    return blocks.groupBy("source").agg(chain("block", "b").alias("digest"), F.sum("n").alias("n"))
 
 
 def classify_documents(spark, d):
@@ -147,11 +149,14 @@ def url_policy(spark, d):
 
 
 def row_integrity(spark, d):
-    """FLT-10/13, MSC-10: violations as rows."""
-    x = docs(spark, d)
-    dup = x.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit("duplicate_id").alias("violation"))
-    checks = {"n_chars_differs": F.col("n_chars") != F.length("text"), "blank": F.trim("text") == "", "unknown_lang": ~F.col("lang").isin("en", "fr", "de", "es"), "source_form": ~F.col("source").rlike(r"^src\d+$"), "trailing_space": F.col("text").endswith(" ")}
-    each = x.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))).alias("violation"))
+    """FLT-10/13, MSC-10: what pages break, as rows: their own form, and addresses that come twice."""
+    p = table(spark, d, "pages")
+    dup = p.groupBy("url").agg(F.count("*").alias("c"), F.collect_list("page_id").alias("ids")).where("c > 1").select(F.explode("ids").alias("page_id"), F.lit("duplicate_url").alias("violation"))
+    checks = {
+        "not_https": ~F.startswith("url", F.lit("https://")), "has_query": F.contains("url", F.lit("?")), "has_fragment": F.contains("url", F.lit("#")), "no_title": ~F.contains("html", F.lit("<title>")), "upper_host": F.lower("url") != F.col("url"),
+        "blank": F.trim("html") == "", "no_language": ~F.col("html").rlike('<html lang="[a-z]{2}">'), "symbols_in_title": F.regexp_extract("html", "<title>([^<]*)</title>", 1).rlike("[#$%*]{2}"), "path_without_number": ~F.col("url").rlike(r"/[0-9]+"),
+    }
+    each = p.select("page_id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))).alias("violation"))
     return dup.union(each)
 
 
@@ -180,13 +185,12 @@ for _k in sorted(DICTIONARY, key=lambda k: (-len(k), k)):
 ORACLES = {
     "norm_text": f"SELECT doc_id, CAST(length({NORM.format('text')}) AS INTEGER) AS n_norm, md5({NORM.format('text')}) AS norm_md5 FROM documents",
     "norm_variants": r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS spaced, md5(lower(regexp_replace(text, '[\s.,;:!?()|"''-]+', '', 'g'))) AS compact FROM documents""",
-    "char_ngrams_distinct": f"WITH t AS (SELECT doc_id, {_T} AS t FROM documents), g AS (SELECT doc_id, {GRAMS.format('t', 3)} AS g FROM t) SELECT doc_id, CAST(len(g) AS INTEGER) AS n_grams, md5(array_to_string(g, ',')) AS grams_md5 FROM g",
-    "gram_df": f"WITH t AS (SELECT doc_id, {_T} AS t FROM documents), g AS (SELECT unnest({GRAMS.format('t', 2)}) AS gram FROM t) SELECT substr(md5(gram), 1, 12) AS gram_id, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)), 4) AS weight FROM g GROUP BY 1",
-    "jaccard_items": f"""WITH a AS (SELECT item_id, {NORM.format('substr(text, 1, 60)')} AS t FROM benchmark), b AS (SELECT doc_id, {NORM.format('substr(' + TITLE + ', 1, 60)')} AS t FROM documents),
-ga AS (SELECT item_id, {GRAMS.format('t', 3)} AS ga FROM a), gb AS (SELECT doc_id, {GRAMS.format('t', 3)} AS gb FROM b),
-p AS (SELECT item_id, doc_id, len(list_intersect(ga, gb)) AS i, len(ga) + len(gb) AS s FROM ga, gb)
-SELECT item_id, doc_id, round(i / (s - i), 4) AS jaccard FROM p WHERE i > 0 AND round(i / (s - i), 4) >= 0.2""",
-    "text_match_score": f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), g AS (SELECT doc_id, t, substr(t, 1, 400) AS h FROM t),
+    "char_ngrams_distinct": f"WITH t AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), g AS (SELECT doc_id, {GRAMS.format('t', 3)} AS g FROM t) SELECT doc_id, CAST(len(g) AS INTEGER) AS n_grams, md5(array_to_string(g, ',')) AS grams_md5 FROM g",
+    "gram_df": f"WITH t AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), g AS (SELECT unnest({GRAMS.format('t', 2)}) AS gram FROM t) SELECT substr(md5(gram), 1, 12) AS gram_id, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)), 4) AS weight FROM g GROUP BY 1",
+    "jaccard_items": """WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{5,})', 1)) AS ga FROM benchmark), b AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{5,})', 1)) AS gb FROM documents),
+i AS (SELECT item_id, doc_id, count(*) AS i FROM (SELECT item_id, unnest(ga) AS g FROM a) JOIN (SELECT doc_id, unnest(gb) AS g FROM b) USING (g) GROUP BY 1, 2)
+SELECT item_id, doc_id, round(i / (len(ga) + len(gb) - i), 4) AS jaccard FROM i JOIN a USING (item_id) JOIN b USING (doc_id) WHERE round(i / (len(ga) + len(gb) - i), 4) >= 0.02""",
+    "text_match_score": f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), g AS (SELECT doc_id, t, t AS h FROM t),
 x AS (SELECT doc_id, t, {GRAMS.format('h', 2)} AS hg, (SELECT {GRAMS.format('n', 2)} FROM (SELECT 'thereand' AS n)) AS ng FROM g)
 SELECT doc_id, round(CASE WHEN contains(t, 'thereand') THEN 1.0 ELSE len(list_intersect(ng, hg)) / greatest(1, len(ng)) END, 4) AS match_score FROM x""",
     "letter_ratio": r"SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^a-z]', '', 'g')) / length(regexp_replace(text, '\s', '', 'g')) END, 4) AS ratio FROM documents",
@@ -198,7 +202,7 @@ SELECT doc_id, round(CASE WHEN contains(t, 'thereand') THEN 1.0 ELSE len(list_in
 SELECT event_id, printf('%02d:%02d', s // 60, s % 60) AS mm_ss, printf('%02d:%02d:%02d,%03d', s // 3600, s % 3600 // 60, s % 60, event_id % 1000) AS srt FROM s""",
     "json_prop": "SELECT event_type, CAST(props->>'k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1, 2",
     "stable_ids": """WITH r AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS r FROM documents) SELECT doc_id, sha256(r) AS row_sha256, 'doc-' || substr(sha256(r), 1, 16) AS short_id FROM r""",
-    "table_digest": "SELECT source, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY source",
+    "table_digest": "WITH b AS (SELECT source, doc_id // 100 AS block, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS b, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, sha256(string_agg(b, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source",
     "classify_documents": _CLASSIFY,
     "classify_override": f"""WITH a AS ({_CLASSIFY}), m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'review' END AS manual FROM labels WHERE toxic = 1 OR quality = 0)
 SELECT a.doc_id, coalesce(manual, decision) AS final, manual IS NOT NULL AND manual <> decision AS drift FROM a LEFT JOIN m USING (doc_id)""",
@@ -208,9 +212,10 @@ SELECT doc_id, issues, issues = '' AS passed FROM i""",
     "url_policy": r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host FROM pages)
 SELECT page_id, host, CASE WHEN NOT starts_with(url, 'https://') THEN 'scheme' WHEN contains(url, '@') THEN 'userinfo' WHEN NOT (host IN ('example.org', 'example.com') OR suffix(host, '.example.org') OR suffix(host, '.example.com')) THEN 'host' WHEN length(url) > 200 THEN 'length' ELSE 'ok' END AS verdict,
 coalesce(nullif(regexp_extract(url, '/(\d+)$', 1), ''), 'page-' || page_id) AS ident FROM h""",
-    "row_integrity": r"""SELECT doc_id, 'duplicate_id' AS violation FROM documents GROUP BY doc_id HAVING count(*) > 1
-UNION ALL SELECT doc_id, 'n_chars_differs' FROM documents WHERE n_chars <> length(text) UNION ALL SELECT doc_id, 'blank' FROM documents WHERE trim(text) = ''
-UNION ALL SELECT doc_id, 'unknown_lang' FROM documents WHERE lang NOT IN ('en', 'fr', 'de', 'es') UNION ALL SELECT doc_id, 'source_form' FROM documents WHERE NOT regexp_matches(source, '^src\d+$') UNION ALL SELECT doc_id, 'trailing_space' FROM documents WHERE suffix(text, ' ')""",
+    "row_integrity": """SELECT page_id, 'duplicate_url' AS violation FROM pages WHERE url IN (SELECT url FROM pages GROUP BY url HAVING count(*) > 1)
+UNION ALL SELECT page_id, 'not_https' FROM pages WHERE NOT starts_with(url, 'https://') UNION ALL SELECT page_id, 'has_query' FROM pages WHERE contains(url, '?') UNION ALL SELECT page_id, 'has_fragment' FROM pages WHERE contains(url, '#')
+UNION ALL SELECT page_id, 'no_title' FROM pages WHERE NOT contains(html, '<title>') UNION ALL SELECT page_id, 'upper_host' FROM pages WHERE lower(url) <> url UNION ALL SELECT page_id, 'blank' FROM pages WHERE trim(html) = ''
+UNION ALL SELECT page_id, 'no_language' FROM pages WHERE NOT regexp_matches(html, '<html lang="[a-z]{2}">') UNION ALL SELECT page_id, 'symbols_in_title' FROM pages WHERE regexp_matches(regexp_extract(html, '<title>([^<]*)</title>', 1), '[#$%*]{2}') UNION ALL SELECT page_id, 'path_without_number' FROM pages WHERE NOT regexp_matches(url, '/[0-9]+')""",
     "status_filter": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('en', 'de') AND starts_with(source, 'src1') AND doc_id NOT IN (3, 5, 8)",
     "alias_match": """WITH c(concept, term) AS (VALUES ('greet', 'the'), ('join', 'and'), ('end', 'ation')), s AS (SELECT lower(split_part(text, ' ', 1)) AS word, count(*) AS n FROM documents GROUP BY 1 HAVING length(lower(split_part(text, ' ', 1))) >= 2)
 SELECT concept, word, n FROM s JOIN c ON contains(word, term) OR contains(term, word)""",

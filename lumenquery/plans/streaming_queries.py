@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from lumenquery.sources.stored import shared_folder
 from lumenquery.sources.tables import table
 from lumenquery.streaming import events as S
 
 
 def _folder(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):
@@ -37,19 +36,18 @@ def session_30m(spark, d):
 
 
 def stream_tumbling(spark, d):
-    """The stream's last complete result, equal to the batch twin's."""
+    """The stream's updates, the last of each window; equal to the batch twin's rows where nothing is late."""
     f = _folder(spark)
-    df = S.tumbling(S.read_events(spark, f"{d}/events.parquet", "3650 days"))
-    S.run_once(df, f"{f}/out", f"{f}/checkpoint")
-    return _naive(S.latest_batch(spark, f"{f}/out"))
+    S.run_once(S.tumbling(S.read_events(spark, f"{d}/events.parquet")), f"{f}/out", f"{f}/checkpoint")
+    return _naive(S.upserted(spark, f"{f}/out", ["start", "event_type"]))
 
 
 def stream_dedupe(spark, d):
-    """First row of each user and type, kept by the stream's state."""
+    """Users and types: the stream drops what comes again within the watermark, the reader what comes again after it."""
     f = _folder(spark)
-    e = S.read_events(spark, f"{d}/events.parquet", "3650 days").select("ts", "user_id", "event_type")
+    e = S.read_events(spark, f"{d}/events.parquet").select("ts", "user_id", "event_type")
     S.run_once(S.first_of_key(e, "user_id", "event_type").select("user_id", "event_type"), f"{f}/out", f"{f}/checkpoint", "append")
-    return spark.read.parquet(f"{f}/out").select("user_id", "event_type")
+    return spark.read.parquet(f"{f}/out").select("user_id", "event_type").distinct()
 
 
 QUERIES = {f.__name__: f for f in (tumbling_1d, sliding_1d_6h, session_30m, stream_tumbling, stream_dedupe)}

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, lateness: str = "30 days") -> DataFrame:
+def read_events(spark: SparkSession, path: str, lateness: str = "2 days", files: int = 8) -> DataFrame:
     """A stream of the event files of a folder; event time in UTC, with a watermark."""
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).option("maxFilesPerTrigger", 8).parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
@@ -28,11 +28,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def first_of_key(events: DataFrame, *keys: str) -> DataFrame:
-    """De-duplication whose state ends with the watermark."""
+    """De-duplication whose state ends with the watermark: a key that comes again later than that comes through again, so its reader takes distinct keys."""
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> None:
+def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
     """Everything that is there now, then stop; a restart goes on from the checkpoint.
 
     Each batch overwrites a folder of its own, so a batch that is replayed leaves the same rows.
@@ -44,8 +44,8 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "complete") -
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """In complete mode the last batch holds the whole result."""
+def upserted(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """In update mode a key's row is the one of the last batch that changed it; the stream's state only holds what the watermark leaves open."""
     x = spark.read.parquet(out)
-    last = x.agg(F.max("batch")).first()[0]
-    return x.where(F.col("batch") == last).drop("batch")
+    others = [c for c in x.columns if c not in (*keys, "batch")]
+    return x.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")

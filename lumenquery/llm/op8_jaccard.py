@@ -14,8 +14,9 @@ distinct word shingles.
 4. Copies that differ little would meet in every list, in pairs.  So a first round links them through minimum
    hashes to one class each, verifies that, and takes components.  The join
    proper then only pairs classes of different components: lists in which all
-   belong to one component are dropped, the others joined as groups, by steps of size: a shingle
-   late in a prefix only counts with smaller partners.  No pair of texts
+   belong to one component are dropped.  A class stays only as far as enough shingles of its prefix are shared by others,
+   early enough for a partner of some size; the rest meet by shingle and step of size, in lists of bounded length whose
+   members carry their shared shingles, so that only pairs with enough matches become rows.  No pair of texts
    in different components is left out, so the components of both rounds' links are those of all links.
 5. Candidates are verified on the whole sets; only candidates' texts move for that.
 6. Every link lies inside a component, so the links of a class are counted there, against all others of its component:
@@ -38,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches, window_hashes, word_hashes
+from .common import components, fresh, materialize, small_batches, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, SLOTS, MAX_MATCH, VERIFY_COST, BINS, CHUNKS = 20, 16, 4, 16.0, 8, 64
-FILTER_BITS, SIZE_STEP = 22, 1.02
+FILTER_BITS, MOST_BITS, SIZE_STEP = 22, 26, 1.02
+#: Members of a posting list that are looked at together.
+CHUNK = 128
 #: A block's bounds for counting links: classes, and shingles of all of them; shared shingles that are looked at together.
 BLOCK, BLOCK_ITEMS, COLUMNS = 256, 1 << 19, 4096
 
@@ -138,12 +141,24 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, CLASS)
 
 
-def fixed_filter(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Which buckets of a fixed number the longs in `v` fall in: a filter of a size that doesn't grow with the data."""
-    out = np.zeros(1 << bits, bool)
-    bucket = F.pmod(F.xxhash64("v"), F.lit(1 << bits)).cast("int")
-    out[np.array(values.select(bucket.alias("b")).distinct().toArrow().column("b"), np.int64)] = True
-    return np.packbits(out)
+def bounded_filter(values: DataFrame) -> np.ndarray:
+    """Which buckets the longs in `v` fall in, as bits: about 16 buckets a value, but at most 2**MOST_BITS, which bounds what is collected and broadcast.
+
+    Beyond that bound it lets more through; what it lets through is joined exactly.
+    """
+    n = values.count()
+    bits = min(MOST_BITS, max(FILTER_BITS, int(16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("v"), F.lit(1 << bits))
+    words = values.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {1 << bits}) & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out
+
+
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of xxhash64 values, which are in the filter."""
+    at = hashes & (len(words) * 64 - 1)
+    return (words[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -151,19 +166,18 @@ def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> D
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = materialize(classes.join(wanted, "fp").select("fp", "locate"), "wanted")
     # keeps most other texts from being made into sets and moved
-    shared = docs.sparkSession.sparkContext.broadcast(fixed_filter(ids.select(F.col("locate").alias("v"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bounded_filter(ids.select(F.col("locate").alias("v"))))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            hit = batch.filter(pa.array(bits[batch.column("bucket").to_numpy(zero_copy_only=False)]))
+            hit = batch.filter(pa.array(in_filter(shared.value, batch.column("hash").to_numpy())))
             for i in range(0, hit.num_rows, 512):
                 texts = hit.column("text").slice(i, 512)
                 fp = [class_key(shingle_set(t, k)) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), hit.column("locate").slice(i, 512), texts], ["fp", "locate", "text"])
 
     key = locate(docs)
-    found = docs.select("text", key.alias("locate"), F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int").alias("bucket"))
+    found = docs.select("text", key.alias("locate"), F.xxhash64(key).alias("hash"))
     found = found.mapInArrow(some, "fp binary, locate long, text string").join(ids, ["fp", "locate"], "left_semi")
     return materialize(found.groupBy("fp").agg(F.min("text").alias("text")), "texts")
 
@@ -222,48 +236,80 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     fixed size on these thins the prefixes out before the postings move.
     """
     one = members.where("fp is not null").groupBy("fp").agg(F.min(F.struct("n", "matches", "prefix")).alias("x")).select("fp", "x.*")
-    c = one.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    c = one.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left")  # no comp: a component of its own
     c = materialize(c, "prefixes")
-    p = c.select(F.xxhash64("comp").alias("c"), F.explode("prefix").alias("h"))
+    of = F.coalesce("comp", "fp")
+    p = c.select(F.xxhash64(of).alias("c"), F.explode("prefix").alias("h"))
     mixed = materialize(p.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"), "mixed")
-    shared = members.sparkSession.sparkContext.broadcast(fixed_filter(mixed.select(F.col("h").alias("v"))))
-    buckets = c.withColumn("at", F.transform("prefix", lambda h: F.pmod(F.xxhash64(h), F.lit(1 << FILTER_BITS)).cast("int")))
+    shared = members.sparkSession.sparkContext.broadcast(bounded_filter(mixed.select(F.col("h").alias("v"))))
+    buckets = c.withColumn("at", F.transform("prefix", lambda h: F.xxhash64(h)))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             lists = batch.column("prefix")
-            hit = bits[batch.column("at").flatten().to_numpy(zero_copy_only=False)]
+            hit = in_filter(shared.value, batch.column("at").flatten().to_numpy())
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            some = batch.select(["fp", "comp", "n", "matches"]).take(pa.array(row[hit]))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(pos[hit].astype(np.int32)), lists.flatten().filter(pa.array(hit))], ["fp", "comp", "n", "matches", "pos", "h"])
-
-    p = buckets.mapInArrow(thin, "fp binary, comp binary, n long, matches int, pos int, h long").join(mixed, "h", "left_semi")
-    # A shared shingle at this place of x's prefix only counts with partners up to a size: of the pair, x is the larger.
-    # Sizes fall into steps of SIZE_STEP; x looks into the steps from percent of its size to that bound.
-    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
-    p = p.withColumn("most", F.least(F.col("n"), F.floor((F.col("n") + F.col("matches") - F.col("pos") - 1) * (100 + percent) / percent) - F.col("n")))
-    p = materialize(p.withColumn("step", step(F.col("n"))), "postings")
-    y = p.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + F.col("matches"))  # as the smaller
+            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(row[hit])), pa.array(pos[hit].astype(np.int32)), lists.flatten().filter(pa.array(hit))], ["fp", "pos", "h"])
+
+    p = buckets.select("fp", "prefix", "at").mapInArrow(thin, "fp binary, pos int, h long").join(mixed, "h", "left_semi")
+    # A pair of least match count l shares l shingles before place n - alpha + l of both: so this one and the l-th shared
+    # one lie before it, which bounds alpha, and with it the partner's size.  What has no possible partner goes.
+    # Sizes fall into steps of ratio 100 / percent: the larger of a pair, x, looks into its own step and the one below.
+    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
     least_n = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))
-    x = p.where(F.col("most") >= least_n).withColumn("step", F.explode(F.sequence(step(least_n), step(F.col("most")))))
-    # lists of one component, in chunks: a large component meets another one without its own pairs being looked at
-    lists = lambda df, c, m: df.groupBy("h", "step", F.col("comp").alias(c), F.pmod(F.xxhash64("fp"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("fp", "n", "matches", "pos")).alias(m)).drop("chunk")
-    met = materialize(lists(x, "cx", "mx"), "larger").join(materialize(lists(y, "cy", "my"), "smaller"), ["h", "step"]).where("cx <> cy")
+
+    def possible(p: DataFrame) -> DataFrame:
+        """Postings with an array of the class's places: those with a possible partner, and the largest one's size as `most`."""
+        p = p.withColumn("alpha", F.col("n") - 1 + F.expr("array_max(transform(slice(places, 1, matches), (place, i) -> i + 1 - greatest(pos, place)))"))
+        p = p.withColumn("most", F.least(F.col("n"), F.expr(f"(alpha * {100 + percent}) div {percent}") - F.col("n")))
+        p = p.where((F.col("most") >= least_n) & (F.col("alpha") >= least_n))
+        return p.withColumn("smaller", F.col("alpha") >= F.ceil(F.col("n") * 2 * percent / (100 + percent)))  # of one size at best
+
+    one = ["fp", "comp", "n", "matches"]
+    about = c.select(*one)  # postings move without what belongs to their class
+    own = p.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("s")).join(about, "fp")
+    p = own.select(*one, F.col("s.pos").alias("places"), F.explode("s").alias("s")).select(*one, "places", "s.*")
+    p = materialize(possible(p).drop("places", "alpha"), "postings")
+    # only shingles that two components have within the sizes of a possible pair count
+    x = p.select("fp", "comp", "pos", "h", F.explode(F.sequence(step(least_n), step(F.col("most")))).alias("step"))
+    y = p.where("smaller").select("fp", "comp", "pos", "h", step(F.col("n")).alias("step"))
+    ends = lambda df, tag: df.groupBy("h", "step").agg(F.min(F.xxhash64(of)).alias(f"lo{tag}"), F.max(F.xxhash64(of)).alias(f"hi{tag}"))
+    keys = materialize(ends(x, "x").join(ends(y, "y"), ["h", "step"]).where("not (lox = hix and loy = hiy and lox = loy)").select("h", "step"), "keys")
+    kept = materialize(x.drop("comp").withColumn("as_x", F.lit(True)).union(y.drop("comp").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
+    # each class with what is left of its prefix: places in it, and low bits of the shingles
+    own = kept.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "fp")
+    own = own.select(*one, F.col("s.pos").alias("places"), F.transform("s", lambda s: s["h"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("low"))
+    kept = possible(kept.join(own, "fp")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller"))).drop("alpha", "most", "smaller")
+    kept = materialize(kept, "kept")
+    x, y = kept.where("as_x"), kept.where("not as_x")
+    large = kept.where("comp is not null").select("fp", "comp").distinct().groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("comp", F.col("comp").alias("g"))
+    large = materialize(large, "large")
+
+    def lists(df: DataFrame, tag: str) -> DataFrame:
+        """Lists of bounded size: of one large component, or of all others."""
+        df = df.join(large, "comp", "left").withColumn("g", F.coalesce("g", F.lit(b"")))
+        sizes = df.groupBy("h", "step", "g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
+        df = df.join(sizes, ["h", "step", "g"], "left").withColumn("chunk", F.expr("pmod(xxhash64(fp), coalesce(chunks, 1))"))
+        item = F.struct("fp", "comp", "n", "matches", "pos", "places", "low")
+        return materialize(df.groupBy("h", "step", F.col("g").alias(f"g{tag}"), "chunk").agg(F.collect_list(item).alias(f"m{tag}")).drop("chunk"), f"lists{tag}")
+
+    met = lists(x, "x").join(lists(y, "y"), ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == F.lit(b"")))
 
     def fits(x: Column, y: Column) -> Column:
         alpha = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent))
         least = F.least(x["matches"], y["matches"])
         larger = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["fp"] < x["fp"]))
-        return larger & (100 * y["n"] >= percent * x["n"]) & (x["pos"] < x["n"] - alpha + least) & (y["pos"] < y["n"] - alpha + least)
+        end = lambda z: z["n"] - alpha + least
+        early = lambda z: F.greatest(z["pos"], F.coalesce(F.get(z["places"], least - 1), F.lit(1 << 30))) < end(z)
+        within = lambda z: F.slice(z["low"], 1, F.size(F.filter(z["places"], lambda at: at < end(z))))
+        # low bits of the shingles: what they let through too much is verified
+        other = F.coalesce(x["comp"], x["fp"]) != F.coalesce(y["comp"], y["fp"])
+        return other & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (F.size(F.array_intersect(within(x), within(y))) >= least)
 
-    found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    met = met.select(F.explode(found).alias("m")).select("m.x", "m.y")
-    least = F.least("x.matches", "y.matches")
-    met = met.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("c"), F.min(least).alias("need"))
-    return met.where("c >= need").select("a", "b")
+    found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
+    return met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct()
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
@@ -377,10 +423,13 @@ def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     of_words = found.where("class is not null")
     stay = of_words.groupBy("group").agg(F.min(F.struct("doc_id", "class")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.class").alias("fp"))
     stay = materialize(stay, "stay")
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
-    go = of_words.join(stay, same & (F.col("class") == F.col("fp")), "left_anti").select(F.col("doc_id").alias("id"))
+    go = of_words.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("class") == F.col("fp")), "left_anti").select(F.col("doc_id").alias("id"))
     repeated = materialize(found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("c")).where("c > 1 or id is null").select("id"), "repeated")
-    out = docs.join(materialize(go.union(repeated).distinct(), "go"), same, "left_anti")
+    # names that no column of the documents has
+    id_, class_ = fresh(docs, "id"), fresh(docs, "class")
+    of_id = lambda df: df.select(F.col("id").alias(id_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_))
+    out = docs.join(of_id(materialize(go.union(repeated).distinct(), "go")), same, "left_anti")
     if not repeated.take(1):
         return out
 
@@ -388,10 +437,23 @@ def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def class_of(texts: pd.Series) -> pd.Series:
         return pd.Series([class_key(shingle_set(t, k)) for t in texts], dtype=object)
 
-    rows = docs.join(repeated, same, "left_semi").withColumn("__class", class_of(F.col("text")))
-    one = rows.where("__class is not null").join(stay, same & (F.col("__class") == F.col("fp")), "left_semi").dropDuplicates(["doc_id", "__class"])
-    return out.unionByName(one.drop("__class")).unionByName(rows.where("__class is null").drop("__class"))
+    rows = docs.join(of_id(repeated), same, "left_semi").withColumn(class_, class_of(F.col("text")))
+    fp = fresh(docs, "fp")
+    one = rows.where(F.col(class_).isNotNull()).join(stay.select(F.col("id").alias(id_), F.col("fp").alias(fp)), same & (F.col(class_) == F.col(fp)), "left_semi").dropDuplicates(["doc_id", class_])
+    return out.unionByName(one.drop(class_)).unionByName(rows.where(F.col(class_).isNull()).drop(class_))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+#: All pairs of classes that share a shingle, and what they reach; for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS c, s FROM s), cl AS (SELECT c, any_value(n) AS n, min(doc_id) AS d, any_value(s) AS s FROM k WHERE n > 0 GROUP BY c),
+e AS (SELECT c, unnest(s) AS x FROM cl), i AS (SELECT a.c AS a, b.c AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.c < b.c GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN cl p ON p.c = a JOIN cl q ON q.c = b WHERE 100 * i >= 90 * (p.n + q.n - i)), o AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(c, m) AS (SELECT c, c FROM cl UNION SELECT r.c, o.b FROM r JOIN o ON r.m = o.a), t AS (SELECT r.c, min(cl.d) AS component_id FROM r JOIN cl ON cl.c = r.m GROUP BY 1), n AS (SELECT a AS c, count(*) AS n_links FROM o GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN t ON t.c = k.c AND k.n > 0 LEFT JOIN n ON n.c = k.c AND k.n > 0
+"""

@@ -104,6 +104,11 @@ def _unblock(raw: bytes):
     return np.repeat(u, sizes, axis=0), word, np.frombuffer(raw, np.uint32, n, at + 4 * m + 8 * n).astype(np.int64)
 
 
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of a file's fit, else in 64; the file's size tells which."""
+    return c.astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.int64)
+
+
 def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -152,9 +157,9 @@ def train(docs: DataFrame, order: int = 2) -> list:
             level = contexts.shape[1] + 1
             key, first, c = added_up(pair_hash(context_hash(contexts), w), c)
             contexts, w = contexts[first], w[first]
-            yield _row(f"pair-{level}", s, uri=write_bytes(folder, f"pair-{level}-{s}", [key.tobytes(), c.astype(np.uint32).tobytes()]), distinct=len(key), n=_of_counts(c))
+            yield _row(f"pair-{level}", s, uri=write_bytes(folder, f"pair-{level}-{s}", [key.tobytes(), narrow(c).tobytes()]), distinct=len(key), n=_of_counts(c))
             ctx, _, total, n1, n2, n3 = added_up(context_hash(contexts), c, *((c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))
-            yield _row(f"context-{level}", s, uri=write_bytes(folder, f"context-{level}-{s}", [ctx.tobytes(), *(x.astype(np.uint32).tobytes() for x in (total, n1, n2, n3))]), distinct=len(ctx))
+            yield _row(f"context-{level}", s, uri=write_bytes(folder, f"context-{level}-{s}", [ctx.tobytes(), *(x.astype(np.uint32).tobytes() for x in (n1, n2, n3)), narrow(total).tobytes()]), distinct=len(ctx))
             if level > 2:  # every distinct gram counts once for the gram without its first word
                 lower = contexts[:, 1:]
                 _, first, near = added_up(pair_hash(context_hash(lower), w), np.ones(len(w), np.int64))
@@ -214,7 +219,8 @@ class Model:
         for kind, shard, uri, *numbers in manifest:
             n = numbers[1]
             raw = mapped(uri, np.uint8)
-            rest = {"pair": [np.uint32], "context": [np.uint32] * 4, "word": [np.int64] * 2}[kind.split("-")[0]]
+            rest = {"pair": [], "context": [np.uint32] * 3, "word": [np.int64]}[kind.split("-")[0]]
+            rest = [*rest, np.uint32 if len(raw) == n * (12 + sum(np.dtype(t).itemsize for t in rest)) else np.int64]
             parts, at = [raw[: 8 * n].view(np.uint64)], 8 * n
             for t in rest:
                 size = n * np.dtype(t).itemsize
@@ -255,7 +261,7 @@ class Model:
         for level in range(2, self.order + 1):
             h = context_hash(u[:, self.order - level :])
             ctx, iu = np.unique(h, return_inverse=True)
-            total, n1, n2, n3 = self.find(f"context-{level}", ctx % size, ctx, 4)
+            n1, n2, n3, total = self.find(f"context-{level}", ctx % size, ctx, 4)
             pair, first, ip = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
             n = self.find(f"pair-{level}", h[first] % size, pair, 1)[0]
             d, t = self.d[level], total[iu]

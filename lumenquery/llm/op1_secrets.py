@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: How far the end of one part of a credential and the start of the next may be apart, in code points.
 SCOPE = 200
@@ -113,23 +113,26 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of `text` (overlapping ones together) replaced by `mark`, and n_chars, if there, set anew."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cols = {k: spans(text, k, p) for k, _, p in BASE + WEAK}
-    d = docs.select("*", F.sha2(text.cast("binary"), 256).alias("__key"), F.concat(*[cols[k] for k, _, _ in BASE]).alias("__base"), F.concat(*[cols[k] for k, _, _ in WEAK]).alias("__weak"))
-    linked = materialize(link(parts_of(docs)), "linked").select(F.col("key").alias("__key"), F.col("linked").alias("__linked"))
+    key, base, weak, linked = (fresh(docs, c) for c in ("key", "base", "weak", "linked"))
+    d = docs.select("*", F.sha2(text.cast("binary"), 256).alias(key), *[spans(text, k, p).alias(fresh(docs, k)) for k, _, p in BASE], F.concat(*[spans(text, k, p) for k, _, p in WEAK]).alias(weak))
+    d = materialize(d, "found")  # the patterns run once
+    parts = d.select(F.col(key).alias("key"), *[F.col(fresh(docs, k)).alias(k) for k, _, _ in BASE], F.col(weak).alias("weak"))
+    found = materialize(link(parts), "linked").select(F.col("key").alias(key), F.col("linked").alias(linked))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    some = d.where(F.size("__weak") > 0).join(linked, "__key", "left").withColumn("__linked", F.coalesce("__linked", none))
-    both = d.where(F.size("__weak") == 0).withColumn("__linked", none).unionByName(some)
+    some = d.where(F.size(weak) > 0).join(found, key, "left").withColumn(linked, F.coalesce(linked, none))
+    both = d.where(F.size(weak) == 0).withColumn(linked, none).unionByName(some)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         gap = F.when(s["start"] >= acc["at"], F.concat(F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    found = F.array_sort(F.concat("__base", "__linked"))
-    new = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    both = both.withColumn("text", F.when(F.size(found) > 0, new).otherwise(F.col("text")))
+    every = F.array_sort(F.concat(*[F.col(fresh(docs, k)) for k, _, _ in BASE], F.col(linked)))
+    both = both.withColumn(base, every)
+    new = F.aggregate(base, zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    both = both.withColumn("text", F.when(F.size(base) > 0, new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

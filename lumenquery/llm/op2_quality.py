@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, window_hashes, word_hashes
+from .common import fresh, SEPARATORS, window_hashes, word_hashes
 
 TRAIN_ROWS, BITS, THRESHOLD = 1500, 16, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -123,8 +123,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, bad_probability double"
 
 
-def judge(docs: DataFrame, model: tuple[np.ndarray, float, float] | None) -> DataFrame:
-    """docs with a struct column `quality` of SCHEMA; the other columns pass through."""
+def judge(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, name: str = "__quality") -> DataFrame:
+    """docs with a struct column `name` of SCHEMA; the other columns pass through.  A name that docs has is refused."""
+    if fresh(docs, name) != name:
+        raise ValueError(f"the documents have a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model[0].astype(np.float32), *model[1:]))  # 2**BITS floats
 
     @F.pandas_udf(SCHEMA)
@@ -143,11 +145,17 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float] | None) -> Dat
                 out.append((*c, failed, not failed and p < THRESHOLD, p))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.withColumn("__quality", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
-def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(docs, train(docs, labels))
+def rate(docs: DataFrame, labels: DataFrame, name: str = "__quality") -> DataFrame:
+    return judge(docs, train(docs, labels), name)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that neither the base rules nor the model reject."""
+    name = fresh(docs, "quality")
+    return rate(docs, labels, name).where(F.col(name)["kept"]).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

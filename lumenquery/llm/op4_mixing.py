@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 #: Production parameters.
 KEEP, ALPHA, ROUNDS, TOLERANCE, SEED = 0.5, 0.7, 60, 1e-6, "mix-1"
@@ -100,30 +100,30 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     return r.withColumn("p", F.least(F.lit(1.0), F.col("factor") * c))
 
 
-def with_cell(docs: DataFrame) -> DataFrame:
-    null = F.lit("(null)")
-    return docs.select(
-        "*",
-        F.coalesce(F.col("source"), null).alias("__source"), F.coalesce(F.col("lang"), null).alias("__lang"), topic_of(F.col("text")).alias("__topic"), tokens_of(F.col("text")).alias("__tokens"),
-    )
-
-
 def mix(docs: DataFrame, targets: DataFrame | None = None, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """Every document with mix_tokens, mix_topic, mix_weight (its share of all target tokens), mix_p and mix_sampled."""
-    d = with_cell(docs)
-    cells = d.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    cells = materialize(cells, "mixcells")
-    p = calibrate(rake(cells, targets_by_temperature(cells) if targets is None else targets), keep)
-    p = p.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), "factor", "p")
-    p = materialize(p, "mixp")
-    out = d.join(p, ["__source", "__lang", "__topic"], "left")
-    prob = F.when(F.col("__tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__tokens").alias("mix_tokens"), F.col("__topic").alias("mix_topic"),
-        (F.coalesce("factor", F.lit(0.0)) * F.col("__tokens")).alias("mix_weight"), prob.alias("mix_p"),
-        (uniform(F.col("doc_id"), seed) < prob).alias("mix_sampled"),
-    )
+    """Every document with mix_tokens, mix_topic, mix_weight (its share of all target tokens), mix_p and mix_sampled.
+
+    Names of these that docs has already get underscores before them.
+    """
+    null = F.lit("(null)")
+    axes = [fresh(docs, f"cell_{a}") for a in AXES]
+    tokens, factor, p = (fresh(docs, c) for c in ("cell_tokens", "cell_factor", "cell_p"))
+    d = docs.select("*", F.coalesce(F.col("source"), null).alias(axes[0]), F.coalesce(F.col("lang"), null).alias(axes[1]), topic_of(F.col("text")).alias(axes[2]), tokens_of(F.col("text")).alias(tokens))
+    cells = materialize(d.groupBy(*[F.col(c).alias(a) for c, a in zip(axes, AXES, strict=True)]).agg(F.sum(tokens).alias("tokens")), "mixcells")
+    of = calibrate(rake(cells, targets_by_temperature(cells) if targets is None else targets), keep)
+    of = materialize(of.select(*[F.col(a).alias(c) for c, a in zip(axes, AXES, strict=True)], F.col("factor").alias(factor), F.col("p").alias(p)), "mixp")
+    out = d.join(of, axes, "left")
+    prob = F.when(F.col(tokens) > 0, F.coalesce(p, F.lit(0.0))).otherwise(0.0)
+    new = {
+        "mix_tokens": F.col(tokens), "mix_topic": F.col(axes[2]), "mix_weight": F.coalesce(factor, F.lit(0.0)) * F.col(tokens),
+        "mix_p": prob, "mix_sampled": uniform(F.col("doc_id"), seed) < prob,
+    }
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(fresh(docs, n)) for n, c in new.items()])
+
+
+def sample(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs that mix() samples, as they are."""
+    return mix(docs, **parameters).where(F.col(fresh(docs, "mix_sampled"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ rows are left or all segments are done.  Possible members are rescored exactly.
 
 Queries are the rows whose vec_id is divisible by STEP; candidates are all rows of another vec_id.  Ties go to
 the smaller vec_id.  Defined results: vectors that are null or hold null or
-non-finite components take no part, neither as query nor as candidate; null vec_ids
-neither; shorter vectors count as padded with zeros; rows repeated with one vec_id and vector
+non-finite components, or components of MOST or more, for which the scores could leave the long range, take no part,
+neither as query nor as candidate; null vec_ids neither; shorter vectors count as padded with zeros; rows repeated with one vec_id and vector
 count once; an empty table gives no rows.
 """
 
@@ -32,6 +32,8 @@ from .common import materialize
 
 K, STEP, BLOCK, QUERIES, LEVELS = 5, 50, 4096, 2048, 16
 #: Shares of the largest impact down to which the rounds go, and how few rows end them early.
+#: Components from here on would let products of long vectors leave the long range.
+MOST = 65536.0
 ROUNDS, FEW = (0.6, 0.45, 0.33, 0.24, 0.16, 0.08, 0.0), 48
 
 
@@ -59,7 +61,7 @@ class Index:
         impact = np.where(self.full, most - base[:, None], -1)
         slack = int((most - least).max(1, initial=0).sum())
         top, done = int(impact.max(initial=0)), np.zeros_like(self.full)
-        total = np.zeros(m)
+        total, pack = np.zeros(m), float(1 << (d + 1).bit_length())  # the low bits count the segments, of which there are d at most
         for share in ROUNDS:
             limit = int(top * share)
             now = self.full & ~done & (impact >= limit)
@@ -68,8 +70,8 @@ class Index:
             if len(dims):
                 starts, ends = self.cuts[dims, levels], self.cuts[dims, levels + 1]
                 rows = np.concatenate([self.rows[j, s:e] for j, s, e in zip(dims, starts, ends, strict=True)])
-                total += np.bincount(rows, np.repeat(impact[dims, levels] * 256.0 + 1, ends - starts), m)
-            got, seen = np.divmod(total, 256.0)
+                total += np.bincount(rows, np.repeat(impact[dims, levels] * pack + 1, ends - starts), m)
+            got, seen = np.divmod(total, pack)
             upper = got + (d - seen) * limit + base.sum()
             lower = got - slack + base.sum()
             lower[own] = -np.inf
@@ -106,7 +108,7 @@ def search(table: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = table.sparkSession
     x = F.transform("embedding", lambda v: F.floor(F.lit(256) * v.cast("double")))
-    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < MOST), F.lit(False)))
     v = materialize(table.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).distinct(), "vectors")
     is_query = F.col("vec_id") % step == 0
     n, nq = v.agg(F.count("*"), F.count_if(is_query)).first()

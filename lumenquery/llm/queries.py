@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc": op6_warc.ORACLE,
+    "op8_jaccard_join": op8_jaccard.ORACLE,
     "op9_exact_topk": op9_topk.ORACLE,
 }

@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and all rows that its predecessor kept;
 all but the last return the columns of documents.  Results of a stage are
 written to the shared folder and read again as the next one's docs.
+
+Nulls, empty tables, repeated rows and columns of any further name are treated as each operator's docstring says: null and
+blank texts fail the quality rules; rows of one doc_id stay apart unless their texts are near copies; an empty table gives
+none; further columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +22,7 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the model reject go."""
-    rated = op2_quality.rate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rated.where("__quality.kept").drop("__quality")
+    return op2_quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled by the probabilities that meet the target weights."""
-    return op4_mixing.mix(docs).where("mix_sampled").select(*docs.columns)
+    return op4_mixing.sample(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ def shards(text: Column, stop: list[str], ideographs: str) -> Column:
 
 def positions(text: Column, term: str) -> Column:
     """All places (from 0) of a term, overlapping ones too."""
-    pieces = F.split(text, f"(?={term})")  # cut before each occurrence
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, F.lit(term)), F.concat(acc["hits"], F.array(acc["at"]))).otherwise(acc["hits"]).alias("hits"))
+    pieces = F.split(text, f"(?={term})")  # cut before each occurrence, so all pieces but perhaps the first begin with one
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when((acc["at"] > 0) | F.startswith(text, F.lit(term)), F.concat(acc["hits"], F.array(acc["at"]))).otherwise(acc["hits"]).alias("hits"))
     return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits")), step, lambda acc: acc["hits"])
 
 

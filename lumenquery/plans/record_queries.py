@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lumenquery.functions import text as T
 from lumenquery.operators import records as X
-from lumenquery.sources.tables import table
+from lumenquery.sources.tables import review_blocks, table
 
 from .literals import Rules
 
@@ -451,3 +451,61 @@ def metadata_check(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.length("html").alias("n"))
     ok = F.col("lang").isin("en", "de", "fr", "es")
     return p.select("page_id", "lang", (F.length("title").between(1, 200) & ok & F.col("n").between(1, 7200)).alias("valid"), F.when(F.col("title") == "", "title").when(~ok, "lang").when(F.col("n") > 7200, "length").otherwise("ok").alias("why"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), x AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 AND turn = 2 THEN 'turn 1' ELSE 'turn ' || turn END AS key, turn, role, n, CASE WHEN turn % 5 = 4 THEN 'missing' WHEN conv_id % 11 = 0 AND turn = 2 THEN 'duplicate' END AS problem FROM c)
+SELECT conv_id, key, CASE WHEN turn % 5 <> 4 THEN role END AS role, CAST(CASE WHEN turn % 5 <> 4 THEN n END AS INTEGER) AS n, problem FROM x""")
+def review_document(spark, d):
+    """SRC-05, GV-04, MSC-12: a review document a conversation, written as Markdown with fenced JSON and read back; sections without a block or with a key that came before are told."""
+    c = table(spark, d, "conversations")
+    key = F.when((F.col("conv_id") % 11 == 0) & (F.col("turn") == 2), "turn 1").otherwise(F.concat(F.lit("turn "), "turn"))
+    body = F.when(F.col("turn") % 5 == 4, "nothing yet").otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct("role", F.length("text").alias("n"))), F.lit("\n```")))
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("### "), key, F.lit("\n"), body, F.lit("\n")).alias("s"))))
+    doc = c.groupBy("conv_id").agg(F.concat(F.lit("# Review\n"), F.array_join(F.transform(lines, lambda x: x["s"]), "")).alias("text"))
+    b = doc.select("conv_id", F.explode(review_blocks(F.col("text"))).alias("b")).select("conv_id", "b.*")
+    got = F.from_json("json", "role string, n int")
+    return b.select("conv_id", "key", got["role"].alias("role"), got["n"].alias("n"), "problem")
+
+
+@query("""WITH s AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), l AS (SELECT lang, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT lang, any_value(labelled) AS labelled, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) AS suggested FROM s JOIN l USING (lang) WHERE k <= 5 GROUP BY 1""")
+def review_queue(spark, d):
+    """GV-03/05: what is labelled already, and the first suggestions that aren't."""
+    x, lab = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id").distinct()
+    s = x.join(lab, "doc_id", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("k <= 5")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "doc_id"))), lambda r: r["doc_id"].cast("string")), ",")
+    return s.groupBy("lang").agg(ids.alias("suggested")).join(x.join(lab, "doc_id").groupBy("lang").agg(F.count("*").alias("labelled")), "lang").select("lang", "labelled", "suggested")
+
+
+@query("""WITH s AS (SELECT source, lang, count(*) AS n, CAST(floor(avg(n_chars)) AS BIGINT) AS size FROM documents GROUP BY 1, 2) SELECT source, lang, CAST(row_number() OVER (PARTITION BY source ORDER BY size, lang) AS INTEGER) AS step, CASE WHEN n < 5 THEN 'short' WHEN size > 3000 THEN 'long' ELSE 'normal' END AS session, lag(lang) OVER (PARTITION BY source ORDER BY size, lang) AS after FROM s""")
+def learning_path(spark, d):
+    """CT-02: the parts of a topic from the shortest on, each after the one before it."""
+    s = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.floor(F.avg("n_chars")).alias("size"))
+    w = Window.partitionBy("source").orderBy("size", "lang")
+    return s.select("source", "lang", F.row_number().over(w).alias("step"), F.when(F.col("n") < 5, "short").when(F.col("size") > 3000, "long").otherwise("normal").alias("session"), F.lag("lang").over(w).alias("after"))
+
+
+@query(r"""SELECT conv_id, turn, nullif(trim(regexp_extract(lower(text), '(?:^|[.]\s)([^.]{5,80}) that ', 1)), '') AS intended, contains(text, 'this') OR contains(text, 'der ') AS points, sha256(coalesce(nullif(trim(text), ''), role)) AS body FROM conversations""")
+def intended_query(spark, d):
+    """MSC-08: what was asked for, whether a text points at something, and the digest of its source's body."""
+    t = F.col("text")
+    asked = F.nullif(F.trim(F.regexp_extract(F.lower(t), r"(?:^|[.]\s)([^.]{5,80}) that ", 1)), F.lit(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", asked.alias("intended"), _has(t, ["this", "der "]).alias("points"), F.sha2(F.coalesce(F.nullif(F.trim(t), F.lit("")), F.col("role")).cast("binary"), 256).alias("body"))
+
+
+@query("""WITH k AS (SELECT conv_id, CASE WHEN role = 'user' THEN 'question' WHEN length(text) > 300 THEN 'claim' ELSE 'note' END AS kind, turn FROM conversations) SELECT conv_id, kind, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS ids, count(*) AS n FROM k GROUP BY 1, 2""")
+def ids_by_kind(spark, d):
+    """MSC-15: ids flattened by kind."""
+    kind = F.when(F.col("role") == "user", "question").when(F.length("text") > 300, "claim").otherwise("note")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string")), ",")
+    return table(spark, d, "conversations").groupBy("conv_id", kind.alias("kind")).agg(ids.alias("ids"), F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT doc_id, quality, toxic FROM labels), p AS (SELECT lang, count(*) AS promoted, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS right_, count(*) FILTER (WHERE toxic = 1) AS adversarial, count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS caught FROM q JOIN documents USING (doc_id) GROUP BY 1)
+SELECT lang, promoted, adversarial, printf('%.1f%%', round(1000.0 * (right_ + caught) / greatest(1, promoted)) / 10) AS accuracy FROM p""")
+def contract_accuracy(spark, d):
+    """MSC-16/18: promoted and adversarial checks, and their accuracy as it is shown."""
+    q = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    right, caught = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 0))
+    g = q.groupBy("lang").agg(F.count("*").alias("promoted"), F.count_if(F.col("toxic") == 1).alias("adversarial"), (right + caught).alias("ok"))
+    return g.select("lang", "promoted", "adversarial", F.format_string("%.1f%%", F.round(1000.0 * F.col("ok") / F.greatest(F.lit(1), "promoted")) / 10).alias("accuracy"))

@@ -38,3 +38,31 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """SNK-12, MSC-02: path, bytes and SHA-256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def review_blocks(text: F.Column, heading: str = "### ") -> F.Column:
+    """SRC-05, GV-04: of every section of a Markdown document its key and the JSON of its one fenced block.
+
+    problem is 'missing' without a block, 'duplicate' with several or if the key came before, else null.
+    """
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), "\n" + heading), 2, 1_000_000)
+    key = lambda p: F.trim(F.split(p, "\n", 2)[0])
+    blocks = lambda p: F.regexp_extract_all(p, F.lit("(?s)```json\\n(.*?)\\n```"), F.lit(1))
+    keys = F.transform(parts, key)
+
+    def block(p, i):
+        b = blocks(p)
+        again = F.array_position(keys, key(p)) < i + 1
+        problem = F.when(F.size(b) == 0, "missing").when((F.size(b) > 1) | again, "duplicate")
+        return F.struct(key(p).alias("key"), F.get(b, F.lit(0)).alias("json"), problem.alias("problem"))
+
+    return F.transform(parts, block)
+
+
+def accepted_local(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-02: of scanned records (status, source, question, warnings, _corrupt) those that count, and one row of counters."""
+    bad = F.col("_corrupt").isNotNull()
+    fit = ~bad & (F.col("status") == "accepted") & (F.col("source") == "local")
+    kept = fit & (F.size(F.coalesce("warnings", F.array().cast("array<string>"))) == 0) & (F.coalesce("question", F.lit("")) != "")
+    counts = records.agg(F.count("*").alias("files"), F.count_if(bad).alias("corrupt"), F.count_if(fit).alias("eligible"), F.count_if(kept).alias("kept"))
+    return records.where(F.coalesce(kept, F.lit(False))), counts

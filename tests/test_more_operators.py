@@ -11,7 +11,7 @@ from lumenquery.operators import questions as Q
 from lumenquery.operators import records as X
 from lumenquery.operators import retrieval as R
 from lumenquery.operators import windows as W
-from lumenquery.sources import sinks, stored
+from lumenquery.sources import sinks, stored, tables
 from lumenquery.streaming import events as S
 
 
@@ -129,3 +129,15 @@ def test_late_rows_go(spark, tmp_path):
     S.run_once(S.tumbling(S.read_events(spark, f"file://{folder}/*.parquet", "1 day", 1)), out, f"file://{tmp_path}/cp")
     got = {r.start.day: r.n for r in S.upserted(spark, out, ["start", "event_type"]).collect()}
     assert got == {1: 1, 2: 1, 10: 2, 11: 2}
+
+
+def test_accepted_local_records(spark):
+    rows = [("accepted", "local", "q", [], None), ("accepted", "local", "q", ["w"], None), ("accepted", "web", "q", None, None), ("accepted", "local", "", None, None), (None, None, None, None, "{oops"), ("accepted", "local", "q2", None, None)]
+    kept, counts = tables.accepted_local(spark.createDataFrame(rows, "status string, source string, question string, warnings array<string>, _corrupt string"))
+    assert sorted(r.question for r in kept.collect()) == ["q", "q2"] and tuple(counts.first()) == (6, 1, 4, 2)
+
+
+def test_review_blocks(spark):
+    text = "# R\n### a\n```json\n{\"x\":\n1}\n```\n### b\nno\n### a\n```json\n{}\n```\n### c\n```json\n1\n```\n```json\n2\n```\n"
+    got = [(b.key, b.json, b.problem) for b in one(spark, tables.review_blocks(F.col("t")), text)]
+    assert got == [("a", '{"x":\n1}', None), ("b", None, "missing"), ("a", "{}", "duplicate"), ("c", "1", "duplicate")]

@@ -65,11 +65,11 @@ def apportion(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
 
     df has a row a share (total at most), so its one window is bounded.
     """
-    s = df.agg(F.sum(weight).alias("s"), F.count("*").alias("k"))
-    x = df.join(F.broadcast(s)).withColumn("exact", F.col(weight) * (F.lit(total) - F.col("k")) / F.col("s")).withColumn("base", F.floor("exact") + 1)
-    left = F.lit(total) - F.sum("base").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.floor("exact"), 9)), key))
-    return x.withColumn("share", F.col("base") + F.when(rank <= left, 1).otherwise(0)).select(key, "share")
+    s = df.agg(F.sum(weight).alias("__sum"), F.count("*").alias("__rows"))
+    x = df.join(F.broadcast(s)).withColumn("__exact", F.col(weight) * (F.lit(total) - F.col("__rows")) / F.col("__sum")).withColumn("__base", F.floor("__exact") + 1)
+    left = F.lit(total) - F.sum("__base").over(Window.partitionBy())
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__exact") - F.floor("__exact"), 9)), key))
+    return x.select(key, (F.col("__base") + F.when(rank <= left, 1).otherwise(0)).alias("share"))
 
 
 def greedy_windows(df: DataFrame, key: str, limit: int) -> DataFrame:

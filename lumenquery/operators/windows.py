@@ -76,7 +76,7 @@ def greedy_windows(df: DataFrame, key: str, limit: int) -> DataFrame:
     """JON-12, K11: of (key, w_start, w_end, score), the best that overlap none chosen before; a key's rows are few after pruning."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, taken = rows.sort_values(["score", "w_start"], ascending=[False, True]), []
+        rows, taken = rows.sort_values(["score", "w_start", "w_end"], ascending=[False, True, True]), []
         for r in rows.itertuples():
             if len(taken) < limit and all(r.w_end < t.w_start or r.w_start > t.w_end for t in taken):
                 taken.append(r)

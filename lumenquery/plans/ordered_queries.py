@@ -216,14 +216,14 @@ def pricing_summary(spark, d):
 
 
 def greedy_window_topk(spark, d):
-    """JON-12: windows with a hit, scored, the best that don't overlap (rows only: each choice depends on the last)."""
+    """JON-12: windows with a hit, scored, the best that don't overlap; each choice depends on the last."""
     c = W.context(table(spark, d, "conversations"), "conv_id", "turn", "text", 1)
     x = c.select("conv_id", "w_start", "w_end", (F.length("window") % 101).alias("score")).where("score > 20")
     return W.greedy_windows(x, "conv_id", 3)
 
 
 def diversify_cover(spark, d):
-    """SRT-07 over documents' topics, a language a group (rows only)."""
+    """SRT-07 over documents' topics, a language a group."""
     marks = ["tion", "ment", "able", "lich", "eau", "ado"]
     c = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(m)), m) for m in marks]))
     x = table(spark, d, "documents").select(F.col("lang").alias("unit"), F.col("doc_id").alias("item"), c.alias("concepts"), F.col("n_chars").alias("score"))
@@ -236,7 +236,31 @@ _WIN = "string_agg(text, ' ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY
 _EDGE = "{1}(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING)"
 _CLAMP = "greatest(-12, least(12, sum(CASE WHEN event_type = '{0}' THEN {2} ELSE {3} END)))"
 
+
+
+def _greedy_sql(rounds: int) -> str:
+    """The choices one after the other: each round takes the best that overlaps none before it."""
+    out = ["w AS (SELECT conv_id, string_agg(text, ' ') OVER v AS win, min(turn) OVER v AS w_start, max(turn) OVER v AS w_end FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))", "x AS (SELECT conv_id, w_start, w_end, CAST(length(win) % 101 AS INTEGER) AS score FROM w WHERE length(win) % 101 > 20)", "t0 AS (SELECT * FROM x WHERE false)"]
+    for k in range(1, rounds + 1):
+        free = f"NOT EXISTS (SELECT 1 FROM t{k - 1} t WHERE t.conv_id = x.conv_id AND x.w_end >= t.w_start AND x.w_start <= t.w_end)"
+        out.append(f"t{k} AS (SELECT * FROM t{k - 1} UNION ALL (SELECT * FROM x WHERE {free} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, w_start, w_end) = 1))")
+    return f"WITH {', '.join(out)} SELECT * FROM t{rounds}"
+
+
+def _cover_sql(rounds: int) -> str:
+    """Each round takes the row with the most new concepts."""
+    marks = ", ".join(f"CASE WHEN contains(text, '{m}') THEN '{m}' END" for m in ("tion", "ment", "able", "lich", "eau", "ado"))
+    out = [f"x AS (SELECT lang AS unit, doc_id AS item, list_filter([{marks}], lambda m: m IS NOT NULL) AS concepts, n_chars AS score FROM documents)", "p0 AS (SELECT unit, item, concepts, 0 AS pick FROM x WHERE false)"]
+    for k in range(1, rounds + 1):
+        seen = f"(SELECT unit, flatten(list(concepts)) AS seen FROM p{k - 1} GROUP BY unit)"
+        new = "len(list_filter(concepts, lambda m: NOT list_contains(coalesce(seen, []), m)))"
+        out.append(f"p{k} AS (SELECT * FROM p{k - 1} UNION ALL (SELECT x.unit, item, concepts, {k} FROM x LEFT JOIN {seen} s ON s.unit = x.unit WHERE item NOT IN (SELECT item FROM p{k - 1}) QUALIFY row_number() OVER (PARTITION BY x.unit ORDER BY {new} DESC, score DESC, item) = 1))")
+    return f"WITH {', '.join(out)} SELECT unit, pick, item FROM p{rounds}"
+
+
 ORACLES = {
+    "greedy_window_topk": _greedy_sql(3),
+    "diversify_cover": _cover_sql(5),
     "context_window_pm2": f"SELECT conv_id, turn, md5({_WIN.format(2).replace(' ORDER BY turn)', ')', 1)}) AS window_md5, {_EDGE.format(2, 'min')} AS w_start, {_EDGE.format(2, 'max')} AS w_end FROM conversations",
     "evidence_window_pm1": f"WITH w AS (SELECT conv_id, turn, text, {_WIN.format(1).replace(' ORDER BY turn)', ')', 1)} AS win, {_EDGE.format(1, 'min')} AS w_start, {_EDGE.format(1, 'max')} AS w_end FROM conversations) SELECT conv_id, turn, CAST(length(win) AS INTEGER) AS n, w_start, w_end FROM w WHERE contains(text, 'the')",
     "temporal_buckets": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS a, value FROM events), b AS (SELECT *, min(a) OVER (PARTITION BY user_id) AS lo, max(a) OVER (PARTITION BY user_id) AS hi FROM e),

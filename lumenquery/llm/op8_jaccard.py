@@ -304,9 +304,10 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         end = lambda z: z["n"] - alpha + least
         early = lambda z: F.greatest(z["pos"], F.coalesce(F.get(z["places"], least - 1), F.lit(1 << 30))) < end(z)
         within = lambda z: F.slice(z["low"], 1, F.size(F.filter(z["places"], lambda at: at < end(z))))
-        # low bits of the shingles: what they let through too much is verified
+        # low bits of the shingles: every common one counts, and what they let through too much is verified
+        common = F.size(F.filter(within(x), lambda v: F.array_contains(within(y), v)))
         other = F.coalesce(x["comp"], x["fp"]) != F.coalesce(y["comp"], y["fp"])
-        return other & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (F.size(F.array_intersect(within(x), within(y))) >= least)
+        return other & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (common >= least)
 
     found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
     return met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, matching_queries, ordered_queries, question_queries, record_queries, retrieval_queries, search_queries, streaming_queries, text_queries
+from . import evidence_queries, matching_queries, ordered_queries, question_queries, record_queries, retrieval_queries, search_queries, store_queries, streaming_queries, text_queries, topk_queries
 
-MODULES = (text_queries, retrieval_queries, ordered_queries, evidence_queries, streaming_queries, question_queries, matching_queries, search_queries, record_queries)
+MODULES = (text_queries, retrieval_queries, ordered_queries, evidence_queries, streaming_queries, question_queries, matching_queries, search_queries, record_queries, topk_queries, store_queries)
 
 
 def queries() -> dict:

@@ -19,8 +19,8 @@ TOPICS = [("endings", ["tion", "able"], ["the"], 3), ("french", ["eau", "ment"],
 
 
 def _fields(spark, d):
-    """Normalised once an application; every query reads it."""
-    return once(spark, f"{d}:fields", lambda: R.fields(table(spark, d, "documents")))
+    """Normalised once, as long as the documents stand; every query reads it."""
+    return once(spark, "fields", [f"{d}/documents.parquet"], lambda: R.fields(table(spark, d, "documents")))
 
 
 def rank_bm25f(spark, d):

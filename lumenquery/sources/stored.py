@@ -1,14 +1,16 @@
-"""Derived tables that are written once and read by later queries."""
+"""Derived tables that are written once and read by later queries and applications, as long as their inputs stand."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PATHS: dict[tuple[str, str], str] = {}
+#: Of what builds derived tables; another number, and what earlier builds have left isn't read.
+VERSION = 1
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,12 +26,41 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def once(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
-    """The table of this key, written by the first call of the application; of the inputs as they stood then."""
-    name = (spark.sparkContext.applicationId, key)
-    if name not in _PATHS:
-        path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own readers see them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files below the paths; of their list, so nothing is read."""
+    out = hashlib.sha256()
+    for path in paths:
+        fs, p = hadoop(spark, path)
+        if not fs.exists(p):
+            continue
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}\n{f.getLen()}\n{f.getModificationTime()}\n")
+        out.update("".join(sorted(found)).encode() + b"\0")
+    return out.hexdigest()
+
+
+def once(spark: SparkSession, key: str, inputs: list[str], build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
+    """The table of this key and of the inputs (paths) as they stand now, written if no application has written it before.
+
+    A changed input has another fingerprint, so what was derived from the old one isn't read again.  The table appears
+    by a rename when it is whole; of two writers at a time the first one's stays.
+    """
+    name = hashlib.sha256(f"{VERSION}\n{key}\n{fingerprint(spark, *inputs)}".encode()).hexdigest()[:32]
+    path = f"{shared_folder(spark)}/stored-{name}"
+    fs, target = hadoop(spark, path)
+    if not fs.exists(target):
+        mine = f"{path}-{uuid.uuid4().hex}"
         writer = build().write
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-        _PATHS[name] = path
-    return spark.read.parquet(_PATHS[name])
+        (writer.partitionBy(*by) if by else writer).parquet(mine)
+        _, source = hadoop(spark, mine)
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
+    return spark.read.parquet(path)

@@ -13,15 +13,20 @@ from above; quantisation bounds it from below.  Rows whose upper bound is below
 best lower bound (or the k-th best exact score of an earlier block) are out by proof; rounds go on until few
 rows are left or all segments are done.  Possible members are rescored exactly.
 
+Bounds are doubles with a margin for what their sums can lose, so components of any finite size keep the proof; scores are
+rescored in 64 bits where all of a block's products fit, else in Python's integers.
+
 Queries are the rows whose vec_id is divisible by STEP; candidates are all rows of another vec_id.  Ties go to
 the smaller vec_id.  Defined results: vectors that are null or hold null or
-non-finite components, or components of MOST or more, for which the scores could leave the long range, take no part,
-neither as query nor as candidate; null vec_ids neither; shorter vectors count as padded with zeros; rows repeated with one vec_id and vector
-count once; an empty table gives no rows.
+non-finite components take no part, neither as query nor as candidate; null vec_ids neither; shorter vectors count as padded with zeros; rows
+repeated with one vec_id and vector count once; a score among the best that a long can't hold, or a component of 2**1000 or more, is an error; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,49 +36,59 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 K, STEP, BLOCK, QUERIES, LEVELS = 5, 50, 4096, 2048, 16
+#: The widest number that Spark ranks; what is cut to it can't be among the best without an error.
+WIDEST = 10**38 - 1
 #: Shares of the largest impact down to which the rounds go, and how few rows end them early.
-#: Components from here on would let products of long vectors leave the long range.
-MOST = 65536.0
 ROUNDS, FEW = (0.6, 0.45, 0.33, 0.24, 0.16, 0.08, 0.0), 48
 
 
 class Index:
-    """Posting segments of a block of integer vectors."""
+    """Posting segments of a block of integer vectors, given as doubles of integers."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         m, d = x.shape
         low, high = x.min(0), x.max(0)
-        step = np.maximum(-(-(high - low + 1) // LEVELS), 1)
-        level = (x - low) // step
+        with np.errstate(all="ignore"):  # widths beyond a double's range: one level
+            level = np.nan_to_num(np.floor((x - low) / np.maximum(high - low, 1) * LEVELS), nan=0.0, posinf=0.0).clip(0, LEVELS - 1).astype(np.int64)
         self.rows = np.argsort(level, axis=0, kind="stable").T.copy()  # a dimension's rows by level
         self.cuts = np.stack([np.searchsorted(np.sort(level[:, j]), np.arange(LEVELS + 1)) for j in range(d)]) if d else np.zeros((0, LEVELS + 1), np.int64)
-        self.low = low[:, None] + step[:, None] * np.arange(LEVELS)
-        self.high = np.minimum(self.low + step[:, None] - 1, high[:, None])
         self.full = np.diff(self.cuts, axis=1) > 0
+        self.low, self.high = np.zeros((d, LEVELS)), np.zeros((d, LEVELS))
+        for j in range(d):
+            at, values = self.cuts[j, :-1][self.full[j]], x[self.rows[j], j]
+            self.low[j, self.full[j]], self.high[j, self.full[j]] = np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+        self.most = np.abs(x).max(initial=0)
 
     def members(self, q: np.ndarray, k: int, floor: float, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best for q; none of the others can (nor reach floor)."""
         m, d = self.x.shape
-        a, b = q[:, None] * self.low, q[:, None] * self.high
-        most, least = np.maximum(a, b), np.minimum(a, b)
-        base = np.where(self.full, least, np.iinfo(np.int64).max).min(1, initial=0 if not d else np.iinfo(np.int64).max)
-        impact = np.where(self.full, most - base[:, None], -1)
-        slack = int((most - least).max(1, initial=0).sum())
-        top, done = int(impact.max(initial=0)), np.zeros_like(self.full)
-        total, pack = np.zeros(m), float(1 << (d + 1).bit_length())  # the low bits count the segments, of which there are d at most
+        if not d:
+            return np.flatnonzero(~own)
+        with np.errstate(all="ignore"):
+            a, b = q[:, None] * self.low, q[:, None] * self.high
+            most, least = np.maximum(a, b), np.minimum(a, b)
+            scale = np.maximum(np.abs(most), np.abs(least)).max(1).sum()
+        if not scale < 1e300:  # products beyond a double's range: nothing is proved
+            return np.flatnonzero(~own)
+        margin = scale * (4 * d + 16) * 2.0**-52
+        base = np.where(self.full, least, np.inf).min(1)
+        impact = np.where(self.full, most - base[:, None], -1.0)
+        slack = np.where(self.full, most - least, 0.0).max(1).sum()
+        top, done = impact.max(initial=0), np.zeros_like(self.full)
+        total, seen, sum_of_bases = np.zeros(m), np.zeros(m, np.int64), base.sum()
         for share in ROUNDS:
-            limit = int(top * share)
+            limit = top * share
             now = self.full & ~done & (impact >= limit)
             done |= now
             dims, levels = np.nonzero(now)
             if len(dims):
                 starts, ends = self.cuts[dims, levels], self.cuts[dims, levels + 1]
                 rows = np.concatenate([self.rows[j, s:e] for j, s, e in zip(dims, starts, ends, strict=True)])
-                total += np.bincount(rows, np.repeat(impact[dims, levels] * pack + 1, ends - starts), m)
-            got, seen = np.divmod(total, pack)
-            upper = got + (d - seen) * limit + base.sum()
-            lower = got - slack + base.sum()
+                total += np.bincount(rows, np.repeat(impact[dims, levels], ends - starts), m)
+                seen += np.bincount(rows, minlength=m)
+            upper = total + (d - seen) * limit + sum_of_bases + margin
+            lower = total - slack + sum_of_bases - margin
             lower[own] = -np.inf
             theta = max(floor, np.partition(lower, m - k)[m - k] if m > k else -np.inf)
             possible = (upper >= theta) & ~own
@@ -81,6 +96,13 @@ class Index:
                 break
         return np.flatnonzero(possible)
 
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> list[int]:
+        """Exact inner products."""
+        if float(self.most) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2.0**62:
+            return (self.x[rows].astype(np.int64) @ q.astype(np.int64)).tolist()
+        other = [int(v) for v in q]
+        return [sum(int(a) * b for a, b in zip(self.x[i], other, strict=True)) for i in rows]
+
 
 def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K, size: int = BLOCK) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of each query's k best of these vectors."""
@@ -91,24 +113,24 @@ def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         for index, at in parts:
             floor = -best[k - 1][0] if len(best) >= k else -np.inf
             rows = index.members(q, k, floor, at == own)
-            scores = index.x[rows] @ q
-            best = sorted(best + [(-int(s), int(i)) for s, i in zip(scores, at[rows], strict=True)])[:k]
+            best = sorted(best + [(-s, i) for s, i in zip(index.scores(rows, q), at[rows].tolist(), strict=True)])[:k]
         out += [(int(own), i, -s) for s, i in best]
     return out
 
 
 def _matrix(lists, d: int) -> np.ndarray:
-    out = np.zeros((len(lists), d), np.int64)
+    """floor(256 * x) of each component, as doubles of integers."""
+    out = np.zeros((len(lists), d))
     for i, v in enumerate(lists):
         out[i, : len(v)] = v
-    return out
+    return np.floor(256 * out)
 
 
 def search(table: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = table.sparkSession
-    x = F.transform("embedding", lambda v: F.floor(F.lit(256) * v.cast("double")))
-    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < MOST), F.lit(False)))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
     v = materialize(table.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).distinct(), "vectors")
     is_query = F.col("vec_id") % step == 0
     n, nq = v.agg(F.count("*"), F.count_if(is_query)).first()
@@ -121,14 +143,17 @@ def search(table: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
         rows = []
         if len(vectors) and len(queries):
             d = max(vectors["v"].map(len).max(), queries["v"].map(len).max())
+            if max(np.abs(np.concatenate(v)).max(initial=0) for v in (vectors["v"], queries["v"])) >= 2.0**1000:
+                raise ValueError("components of 2**1000 or more")
             rows = top_of_block(_matrix(vectors["v"], d), vectors["vec_id"].to_numpy(), _matrix(queries["v"], d), queries["vec_id"].to_numpy(), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame([(q, i, Decimal(max(-WIDEST, min(WIDEST, s)))) for q, i, s in rows], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"})
 
     ks = ["vb", "qb"]
     ints = lambda df: df.select(F.col("vb").cast("int"), F.col("qb").cast("int"), "vec_id", "v")
-    local = ints(left).groupBy(*ks).cogroup(ints(right).groupBy(*ks)).applyInPandas(work, "query_id long, vec_id long, score long")
+    local = ints(left).groupBy(*ks).cogroup(ints(right).groupBy(*ks)).applyInPandas(work, "query_id long, vec_id long, score decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact = F.when(F.abs("score") < F.lit(Decimal(1 << 63)), F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", exact.alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 import tempfile
@@ -169,15 +170,32 @@ def test_op2_on_rows_it_has_not_seen(spark):
     assert right >= 0.8, right
 
 
-def test_op9_many_dimensions_and_large_components(spark):
+def brute_topk(rows):
+    v = {i: [math.floor(256 * c) for c in x] for i, x in rows if x and all(c is not None and math.isfinite(c) for c in x)}
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=False))
+    return {(q, k, i, -s) for q in v if q % 50 == 0 for k, (s, i) in enumerate(sorted((-score(q, i), i) for i in v if i != q)[:5], 1)}
+
+
+@pytest.mark.parametrize("size", [1.0, 300.0, 7e4, 2e6])
+def test_op9_components_of_any_size(spark, size):
+    """Beyond 2**53 sums of doubles lose bits; results stay exact."""
     rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=300).tolist()) for i in range(120)] + [(121, [1e300, 1.0]), (122, [float("nan")]), (150, [2.0] * 300), (150, [2.0] * 300)]
-    got = {}
-    for r in op9_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    v = {i: np.floor(256 * np.array(x)).astype(np.int64) for i, x in rows if i not in (121, 122)}
-    assert set(got) == {0, 50, 100, 150}
-    for q, found in got.items():
-        want = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5]
-        assert sorted(found) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    rows = [(i, (size * rng.normal(size=24)).tolist()) for i in range(160)] + [(400, [size, 0.5]), (450, [size + 1 / 256, 0.5]), (451, [size, 0.5]), (452, [float("nan")]), (453, [float("inf")]), (454, None), (455, [])]
+    got = [tuple(r) for r in op9_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert set(got) == brute_topk(rows) and len(got) == 6 * 5
+
+
+def test_op9_small_and_large_vectors_together(spark):
+    rows = [(0, [70000.0, 1.0]), (1, [70000.0, 2.0]), (50, [1.0, 1.0]), (100, [80000.0, 1.0]), (101, [-1e30, 0.0]), (102, [-1e200, 0.0]), (103, [2.0]), (104, [3.0]), (105, [0.0])]
+    got = {tuple(r) for r in op9_topk.search(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, score int, rank string, v long")).collect()}
+    assert got == brute_topk(rows)
+    with pytest.raises(Exception, match="beyond a long"):
+        op9_topk.search(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_op9_many_dimensions_and_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=300).tolist()) for i in range(120)] + [(150, [2.0] * 300), (150, [2.0] * 300)]
+    got = [tuple(r) for r in op9_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert set(got) == brute_topk(rows) and len(got) == 20
     assert op9_topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0

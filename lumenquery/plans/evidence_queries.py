@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lumenquery.functions import text as T
 from lumenquery.operators import evidence as E
 from lumenquery.operators import retrieval as R
+from lumenquery.operators import similarity as J
 from lumenquery.sources.tables import table
 
 from .retrieval_queries import _F as FIELDS_SQL
@@ -103,8 +104,7 @@ def claim_match(spark, d):
     """CT-08, K20: claims to answers by grams of whole texts, above the gate and within the band of the best."""
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim"), T.grams(T.norm(F.col("text")), 4).alias("cg"))
     units = table(spark, d, "conversations").select("conv_id", "turn", T.grams(T.norm(F.col("text")), 4).alias("ug"))
-    l, r = claims.select("claim", F.size("cg").alias("n"), F.explode("cg").alias("g")), units.select("conv_id", "turn", F.explode("ug").alias("g"))
-    s = r.join(l, "g").groupBy("claim", "conv_id", "turn").agg((F.count("*") / F.first("n")).alias("score"))
+    s = J.contained(claims, "claim", "cg", units, ["conv_id", "turn"], "ug", E.CLAIM_GATE)
     s = s.withColumn("best", F.max("score").over(Window.partitionBy("conv_id", "turn")))
     return s.where((F.col("score") >= E.CLAIM_GATE) & (F.col("score") >= F.col("best") - E.CLAIM_BAND)).select("claim", "conv_id", "turn", F.round("score", 4).alias("score"))
 

@@ -281,6 +281,7 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     # each class with what is left of its prefix: places in it, and low bits of the shingles
     own = kept.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "fp")
     own = own.select(*one, F.col("s.pos").alias("places"), F.transform("s", lambda s: s["h"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("low"))
+    own = own.withColumn("spare", F.size("low") - F.size(F.array_distinct("low")))
     kept = possible(kept.join(own, "fp")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller"))).drop("alpha", "most", "smaller")
     kept = materialize(kept, "kept")
     x, y = kept.where("as_x"), kept.where("not as_x")
@@ -292,7 +293,7 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         df = df.join(large, "comp", "left").withColumn("g", F.coalesce("g", F.lit(b"")))
         sizes = df.groupBy("h", "step", "g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
         df = df.join(sizes, ["h", "step", "g"], "left").withColumn("chunk", F.expr("pmod(xxhash64(fp), coalesce(chunks, 1))"))
-        item = F.struct("fp", "comp", "n", "matches", "pos", "places", "low")
+        item = F.struct("fp", "comp", "n", "matches", "pos", "places", "low", "spare")
         return materialize(df.groupBy("h", "step", F.col("g").alias(f"g{tag}"), "chunk").agg(F.collect_list(item).alias(f"m{tag}")).drop("chunk"), f"lists{tag}")
 
     met = lists(x, "x").join(lists(y, "y"), ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == F.lit(b"")))
@@ -304,8 +305,8 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         end = lambda z: z["n"] - alpha + least
         early = lambda z: F.greatest(z["pos"], F.coalesce(F.get(z["places"], least - 1), F.lit(1 << 30))) < end(z)
         within = lambda z: F.slice(z["low"], 1, F.size(F.filter(z["places"], lambda at: at < end(z))))
-        # low bits of the shingles: every common one counts, and what they let through too much is verified
-        common = F.size(F.filter(within(x), lambda v: F.array_contains(within(y), v)))
+        # low bits of the shingles: those that share theirs with another count once, so their number is added; what that lets through too much is verified
+        common = F.size(F.array_intersect(within(x), within(y))) + x["spare"]
         other = F.coalesce(x["comp"], x["fp"]) != F.coalesce(y["comp"], y["fp"])
         return other & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (common >= least)
 

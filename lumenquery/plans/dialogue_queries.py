@@ -1,12 +1,17 @@
-"""Dialogues: who they are about (WIN-14, QU-14, QU-16)."""
+"""Dialogues: who they are about, and what they say to a question (WIN-01, WIN-14, QU-14, QU-16)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenquery.functions import text as T
+from lumenquery.operators import transcript as TR
 from lumenquery.operators import transducer as A
+from lumenquery.operators.topk import WORDS, words
 from lumenquery.sources.tables import table
 
+from .text_queries import NORM
+
 #: Words of the four languages that stand for actors here.
 RULES = A.Rules(
     "player",
@@ -29,5 +34,31 @@ def actor_model(spark, d):
     return A.model(A.segments(table(spark, d, "conversations"), "conv_id", "turn", "text", RULES), "conv_id", "turn", RULES)
 
 
-QUERIES = {f.__name__: f for f in (actor_segments, actor_model)}
-ORACLES: dict[str, str] = {}
+def transcript_evidence(spark, d):
+    """WIN-01: of every benchmark item the three dialogues that hold most of its longer words, and their three best windows."""
+    segments = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), T.norm(F.coalesce("text", F.lit(""))).alias("body"))
+    b = table(spark, d, "benchmark")
+    terms = b.select(F.col("item_id").alias("question"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).where(F.col("term").rlike("^[a-z]{5,}$"))
+    terms = terms.withColumn("weight", F.length("term") * 0.5)
+    return TR.evidence(segments, b.select(F.col("item_id").alias("question"), T.norm(F.col("text")).alias("body")), terms, 3, 3)
+
+
+QUERIES = {f.__name__: f for f in (actor_segments, actor_model, transcript_evidence)}
+
+_ROUND = """r{i} AS (SELECT * FROM c x WHERE {free} QUALIFY row_number() OVER (PARTITION BY question, key ORDER BY score DESC, w_start, w_end) = 1)"""
+_FREE = "NOT EXISTS (SELECT 1 FROM r{j} y WHERE y.question = x.question AND y.key = x.key AND x.w_start <= y.w_end AND y.w_start <= x.w_end)"
+
+ORACLES = {
+    "transcript_evidence": f"""WITH s AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, {NORM.format("coalesce(text, '')")} AS body FROM conversations),
+q AS (SELECT item_id AS question, {NORM.format('text')} AS asked, list_distinct(list_transform(range(1, length({NORM.format('text')})), lambda i: substr({NORM.format('text')}, i, 2))) AS grams FROM benchmark),
+t AS (SELECT DISTINCT item_id AS question, w.term AS term, length(w.term) * 0.5 AS weight FROM benchmark, unnest(regexp_extract_all(lower(text), '{WORDS}')) w(term) WHERE regexp_matches(w.term, '^[a-z]{{5,}}$')),
+h AS (SELECT DISTINCT question, key, term, weight FROM s JOIN t ON contains(body, term)), f AS (SELECT question, key, round(sum(weight), 4) AS weight FROM h GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY question ORDER BY round(sum(weight), 4) DESC, key) <= 3),
+w AS (SELECT DISTINCT key, min(place) OVER o AS w_start, max(place) OVER o AS w_end, array_to_string(list(body) OVER o, '') AS win FROM s WINDOW o AS (PARTITION BY key ORDER BY place ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+v AS (SELECT f.question, f.key, w_start, w_end, win, asked, grams FROM f JOIN w USING (key) JOIN q ON q.question = f.question WHERE win <> ''),
+m AS (SELECT v.question, v.key, w_start, w_end, count(*) AS n, sum(weight) AS weight FROM v JOIN t ON t.question = v.question AND contains(win, term) GROUP BY 1, 2, 3, 4),
+c AS (SELECT v.question, v.key, v.w_start, v.w_end, CAST(coalesce(n, 0) AS INTEGER) AS n_terms, contains(win, asked) AND asked <> '' AS exact,
+len(list_filter(grams, lambda g: contains(win, g))) AS shared, round(CASE WHEN contains(win, asked) AND asked <> '' THEN 100.0 ELSE 0 END + coalesce(weight, 0) + len(list_filter(grams, lambda g: contains(win, g))) / greatest(1, len(grams)) * 25.0, 4) AS score
+FROM v LEFT JOIN m USING (question, key, w_start, w_end) WHERE (contains(win, asked) AND asked <> '') OR n > 0 OR len(list_filter(grams, lambda g: contains(win, g))) >= 2),
+{_ROUND.format(i=1, free='true')}, {_ROUND.format(i=2, free=_FREE.format(j=1))}, {_ROUND.format(i=3, free=_FREE.format(j=1) + ' AND ' + _FREE.format(j=2))}, u AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
+SELECT question, key, CAST(w_start AS INTEGER) AS w_start, CAST(w_end AS INTEGER) AS w_end, CAST(score AS DOUBLE) AS score, n_terms, exact, CAST(row_number() OVER (PARTITION BY question, key ORDER BY score DESC, w_start, w_end) AS INTEGER) AS rank FROM u""",
+}

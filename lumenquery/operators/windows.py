@@ -86,19 +86,21 @@ def greedy_windows(df: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def diversify(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """SRT-07: of (key, item, concepts, score), repeatedly the item with the most new concepts, then score, then id."""
+    """SRT-07: of (key, item, concepts, score), repeatedly the item with the most new concepts, then score, then the least item.
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = list(rows.sort_values("item").itertuples()), set(), []
-        while left and len(out) < limit:
-            best = min(left, key=lambda r: (-len(set(r.concepts) - seen), -r.score, r.item))
-            left.remove(best)
-            seen |= set(best.concepts)
-            out.append((getattr(best, key), len(out) + 1, best.item))
-        return pd.DataFrame(out, columns=[key, "pick", "item"])
-
-    kind = df.schema[key].dataType.simpleString()
-    # of items with equal concepts only the best `limit` can be picked, so no task gets a whole group
-    best = Window.partitionBy(key, F.array_sort(F.array_distinct("concepts"))).orderBy(F.col("score").desc(), "item")
-    df = df.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= limit).drop("__rank")
-    return df.groupBy(key).applyInPandas(pick, f"{key} {kind}, pick int, item {df.schema['item'].dataType.simpleString()}")
+    A pick is one aggregation over all partitions, of which each gives its best candidate of a key, so no task holds a key's rows;
+    what moves between picks is a row a key.
+    """
+    shared_folder(df.sparkSession)
+    x = df.select(F.col(key).alias("k"), "item", F.array_distinct(F.coalesce("concepts", F.array().cast(df.schema["concepts"].dataType))).alias("concepts"), "score").checkpoint()
+    best = F.min_by(F.struct("item", "concepts"), F.struct((-F.col("gain")).alias("g"), (-F.col("score")).alias("s"), "item"))
+    picks = None
+    for i in range(1, limit + 1):
+        left = x.withColumn("gain", F.size("concepts"))
+        if picks is not None:
+            seen = picks.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("concepts"))).alias("seen"), F.collect_list("item").alias("taken"))
+            left = left.join(seen.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2"))).where(~F.array_contains("taken", F.col("item")))
+            left = left.withColumn("gain", F.size(F.array_except("concepts", "seen")))
+        found = left.groupBy("k").agg(best.alias("b")).select("k", F.lit(i).alias("pick"), "b.item", "b.concepts")
+        picks = (found if picks is None else picks.union(found)).checkpoint()
+    return picks.select(F.col("k").alias(key), "pick", "item")

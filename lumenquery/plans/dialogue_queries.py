@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenquery.functions import text as T
+from lumenquery.operators import contracts as K
 from lumenquery.operators import transcript as TR
 from lumenquery.operators import transducer as A
 from lumenquery.operators.topk import WORDS, words
@@ -43,12 +44,51 @@ def transcript_evidence(spark, d):
     return TR.evidence(segments, b.select(F.col("item_id").alias("question"), T.norm(F.col("text")).alias("body")), terms, 3, 3)
 
 
-QUERIES = {f.__name__: f for f in (actor_segments, actor_model, transcript_evidence)}
+CONTRACT = {
+    "type": "struct",
+    "fields": {
+        "conv_id": {"type": "value", "required": True, "least": 0},
+        "roles": {"type": "array", "most": 2, "unique": True},
+        "askers": {"type": "array", "least": 1},
+        "turns": {
+            "type": "array", "least": 2, "most": 7, "unique": "role_key",
+            "items": {"type": "struct", "fields": {
+                "turn": {"type": "value", "required": True, "most": 6},
+                "role": {"type": "value", "required": True, "enum": ["user", "assistant"]},
+                "role_key": {"type": "value", "required": True},
+                "text": {"type": "value", "required": True, "blank": False, "pattern": r"^[^#]*$"},
+            }},
+        },
+    },
+    "subset": [("askers", "roles")],
+    "disjoint": [("askers", "heads")],
+}
+
+
+def contract_violations(spark, d):
+    """FLT-13: every dialogue as a nested record, held against a contract that is data."""
+    c = table(spark, d, "conversations")
+    turn = F.struct("turn", "role", F.concat_ws("-", "role", F.length("text")).alias("role_key"), "text")
+    asker, head = F.when(F.contains("text", F.lit("?")), F.col("role")), F.when(F.col("turn") == 0, F.col("role"))
+    x = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_set(asker)).alias("askers"), F.array_sort(F.collect_set(head)).alias("heads"))
+    return K.violations(x, ["conv_id"], CONTRACT).groupBy("conv_id", "path", "code").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (actor_segments, actor_model, transcript_evidence, contract_violations)}
 
 _ROUND = """r{i} AS (SELECT * FROM c x WHERE {free} QUALIFY row_number() OVER (PARTITION BY question, key ORDER BY score DESC, w_start, w_end) = 1)"""
 _FREE = "NOT EXISTS (SELECT 1 FROM r{j} y WHERE y.question = x.question AND y.key = x.key AND x.w_start <= y.w_end AND y.w_start <= x.w_end)"
 
+_AT = "'turns[' || p || ']"
+
 ORACLES = {
+    "contract_violations": f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p, role || '-' || length(text) AS rk FROM conversations),
+g AS (SELECT conv_id, count(*) AS n, list_distinct(list(role)) AS roles, coalesce(list_distinct(list(role) FILTER (WHERE contains(text, '?'))), []) AS askers, coalesce(list_distinct(list(role) FILTER (WHERE turn = 0)), []) AS heads FROM c GROUP BY 1),
+v AS (SELECT conv_id, 'conv_id' AS path, 'too_small' AS code FROM g WHERE conv_id < 0 UNION ALL SELECT conv_id, 'roles', 'too_many' FROM g WHERE len(roles) > 2 UNION ALL SELECT conv_id, 'askers', 'too_few' FROM g WHERE len(askers) < 1
+UNION ALL SELECT conv_id, 'turns', 'too_few' FROM g WHERE n < 2 UNION ALL SELECT conv_id, 'turns', 'too_many' FROM g WHERE n > 7 UNION ALL SELECT conv_id, 'heads', 'unknown' FROM g UNION ALL SELECT conv_id, 'askers', 'overlaps_heads' FROM g WHERE list_has_any(askers, heads)
+UNION ALL SELECT conv_id, {_AT}.turn', 'too_large' FROM c WHERE turn > 6 UNION ALL SELECT conv_id, {_AT}.role', 'not_in_enum' FROM c WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT conv_id, {_AT}.text', 'blank' FROM c WHERE trim(text) = ''
+UNION ALL SELECT conv_id, {_AT}.text', 'pattern' FROM c WHERE contains(text, '#') UNION ALL SELECT conv_id, {_AT}.role_key', 'repeated' FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, rk ORDER BY p) AS k FROM c) WHERE k > 1)
+SELECT conv_id, path, code, count(*) AS n FROM v GROUP BY ALL""",
     "transcript_evidence": f"""WITH s AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, {NORM.format("coalesce(text, '')")} AS body FROM conversations),
 q AS (SELECT item_id AS question, {NORM.format('text')} AS asked, list_distinct(list_transform(range(1, length({NORM.format('text')})), lambda i: substr({NORM.format('text')}, i, 2))) AS grams FROM benchmark),
 t AS (SELECT DISTINCT item_id AS question, w.term AS term, length(w.term) * 0.5 AS weight FROM benchmark, unnest(regexp_extract_all(lower(text), '{WORDS}')) w(term) WHERE regexp_matches(w.term, '^[a-z]{{5,}}$')),

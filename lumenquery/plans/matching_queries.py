@@ -301,7 +301,7 @@ def feedback_layers(spark, d):
     return M.layered(ranked, {"global": _adjust(spark, d), "local": local}, b.where("item_id % 8 <> 5"), "item_id", 0.82)
 
 
-#: Codes of an audit: what a turn breaks, by itself or against the turn before it.
+#: What a turn breaks, by itself or against the turn before it.
 _AUDIT = {
     "empty": "length(trim(text)) = 0", "too_long": "length(text) > 600", "too_short": "length(text) < 20", "unknown_role": "role NOT IN ('user', 'assistant')", "role_repeats": "role = prev_role", "starts_with_answer": "turn = 0 AND role = 'assistant'",
     "turn_gap": "turn <> coalesce(prev_turn + 1, 0)", "same_text": "text = prev_text", "no_end_mark": "NOT regexp_matches(text, '[.!?]\\s*$')", "link": "contains(text, 'http')", "mail": "contains(text, '@')", "markup": "regexp_matches(text, '<[a-z]')",
@@ -315,8 +315,8 @@ def _spark_sql(sql: str) -> str:
 
 
 @query("WITH c AS (SELECT *, lag(role) OVER w AS prev_role, lag(turn) OVER w AS prev_turn, lag(text) OVER w AS prev_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) " + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS code FROM c WHERE {v}" for k, v in _AUDIT.items()))
-def answer_audit(spark, d):
-    """CT-07: 22 codes, one row a violation."""
+def turn_checks(spark, d):
+    """What a turn breaks, by itself or against the turn before it: one row a violation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, d, "conversations").select("*", *[F.lag(n).over(w).alias(f"prev_{n}") for n in ("role", "turn", "text")])
     return E.violations(c, ["conv_id", "turn"], {k: F.expr(_spark_sql(v)) for k, v in _AUDIT.items()})

@@ -34,7 +34,7 @@ def select(found: DataFrame, docs: DataFrame, reason: Column, k: int) -> tuple[D
 
 def claims(questions: DataFrame, selected: DataFrame) -> DataFrame:
     """The sentences of each question (question, text), C1, C2, ..., with the labels that support them."""
-    parts = F.array_distinct(F.filter(F.transform(F.split("text", r"[.!?\n]+"), F.trim), lambda s: s != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != ""))
     c = questions.select("question", F.posexplode(parts).alias("n", "text")).select("question", F.concat(F.lit("C"), F.col("n") + 1).alias("claim_id"), "text")
     grams = lambda x: T.grams(T.norm(F.col(x)), GRAM)
     c = c.withColumn("grams", grams("text"))

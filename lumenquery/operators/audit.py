@@ -87,7 +87,7 @@ def units(answers: DataFrame, turns: DataFrame, rules: Rules) -> tuple[DataFrame
     ends = F.endswith(F.rtrim("text"), F.col("prompt"))
     body = F.when(ends, F.rtrim(F.expr("left(rtrim(text), length(rtrim(text)) - length(prompt))"))).otherwise(F.col("text"))
     a = a.withColumn("ends", F.coalesce(ends, F.lit(True))).withColumn("body", body).withColumn("labels", _of(F.col("body"), rules.label)).withColumn("ids", _of(F.col("body"), rules.evidence))
-    lines = F.filter(F.transform(F.split("body", r"\n+"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("body", r"\n+"), lambda s: F.trim(s)), lambda s: s != "")
     u = a.select("answer_id", "question", F.posexplode(lines).alias("n", "unit"))
     bare = F.regexp_replace("unit", r"https?://\S+", "")
     return a, u.select("*", _of(F.col("unit"), rules.label).alias("labels"), _of(bare, rules.evidence).alias("ids"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, materialize, small_batches, window_hashes, word_hashes
+from .common import components, discard, fresh, materialize, small_batches, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, SLOTS, MAX_MATCH, VERIFY_COST, BINS, CHUNKS = 20, 16, 4, 16.0, 8, 64
@@ -271,19 +271,22 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     about = c.select(*one)  # postings move without what belongs to their class
     own = p.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("s")).join(about, "fp")
     p = own.select(*one, F.col("s.pos").alias("places"), F.explode("s").alias("s")).select(*one, "places", "s.*")
-    p = materialize(possible(p).drop("places", "alpha"), "postings")
+    p = postings = materialize(possible(p).drop("places", "alpha"), "postings")
+    discard(mixed)
     # only shingles that two components have within the sizes of a possible pair count
     x = p.select("fp", "comp", "pos", "h", F.explode(F.sequence(step(least_n), step(F.col("most")))).alias("step"))
     y = p.where("smaller").select("fp", "comp", "pos", "h", step(F.col("n")).alias("step"))
     ends = lambda df, tag: df.groupBy("h", "step").agg(F.min(F.xxhash64(of)).alias(f"lo{tag}"), F.max(F.xxhash64(of)).alias(f"hi{tag}"))
     keys = materialize(ends(x, "x").join(ends(y, "y"), ["h", "step"]).where("not (lox = hix and loy = hiy and lox = loy)").select("h", "step"), "keys")
-    kept = materialize(x.drop("comp").withColumn("as_x", F.lit(True)).union(y.drop("comp").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
+    kept = some = materialize(x.drop("comp").withColumn("as_x", F.lit(True)).union(y.drop("comp").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
+    discard(postings, keys)
     # each class with what is left of its prefix: places in it, and low bits of the shingles
     own = kept.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "fp")
     own = own.select(*one, F.col("s.pos").alias("places"), F.transform("s", lambda s: s["h"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("low"))
     own = own.withColumn("spare", F.size("low") - F.size(F.array_distinct("low")))
     kept = possible(kept.join(own, "fp")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller"))).drop("alpha", "most", "smaller")
     kept = materialize(kept, "kept")
+    discard(some, c)
     x, y = kept.where("as_x"), kept.where("not as_x")
     large = kept.where("comp is not null").select("fp", "comp").distinct().groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("comp", F.col("comp").alias("g"))
     large = materialize(large, "large")
@@ -399,6 +402,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool
     links = materialize(verified(pairs, found, k, percent), "links")
     comp = components(links)
     pairs = materialize(candidates(members, comp, percent), "pairs")
+    # prefixes and minima have done their part
+    whole, members = members, materialize(members.select("doc_id", "fp", "n"), "members")
+    with_fp = members.where("fp is not null")
+    discard(whole)
     more = texts_of(pairs, docs, classes, k)
     links = materialize(links.union(verified(pairs, more, k, percent)), "alllinks")
     comp = components(links)

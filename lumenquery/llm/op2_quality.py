@@ -29,6 +29,7 @@ from .common import fresh, SEPARATORS, window_hashes, word_hashes
 TRAIN_ROWS, BITS, THRESHOLD = 1500, 16, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
+MULT = np.uint32(0x85EBCA6B)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SEPARATORS)] = True
 _IS_SYMBOL = np.zeros(256, bool)
@@ -36,17 +37,17 @@ _IS_SYMBOL[list(b"#*$%&|<>")] = True
 _STARTS = (np.arange(256) & 0xC0) != 0x80  # bytes that start a code point
 
 
-def features(raw: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers and values of a text; values have the length 1."""
     mask = np.uint64((1 << BITS) - 1)
     found = [window_hashes(words, 1) & mask]
     if len(words) > 1:
         found.append(window_hashes(words, 2) & mask)
-    if len(raw) > 3:
-        b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-        three = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
-        for grams in (three, three[:-1] | (b[3:] << np.uint32(24))):
-            h = grams * np.uint32(0x9E3779B1)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)  # code points
+    if len(c) > 3:
+        three = (c[:-2] * MULT + c[1:-1]) * MULT + c[2:]
+        for grams in (three, three[:-1] * MULT + c[3:]):
+            h = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x9E3779B1)
             found.append((h >> np.uint32(32 - BITS)).astype(np.uint64))
     counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BITS)
     at = np.flatnonzero(counts)
@@ -76,7 +77,7 @@ def counts(text: str | None, words: np.ndarray) -> tuple[int, int, int, int, int
 
 def fit(texts: list[str], bad: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float, float]:
     """Weights, and Platt's slope and intercept; rows in the given order, every third held out."""
-    rows = [features(t.encode("utf-8"), word_hashes(t, lower=False)) for t in texts]
+    rows = [features(t, word_hashes(t, lower=False)) for t in texts]
     held = np.arange(len(rows)) % 3 == 2
     at, val, row = (np.concatenate(x) for x in zip(*((a, v, np.full(len(a), i)) for i, (a, v) in enumerate(rows)), strict=True))
     y = bad.astype(float)
@@ -98,12 +99,19 @@ def _platt(z: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
     if not 0 < y.sum() < len(y):
         return 1.0, bias
     goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x = np.stack([z, np.ones_like(z)], 1)
-    p = np.array([1.0, 0.0])
-    for _ in range(50):
+    x, start = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
+
+    def loss(p: np.ndarray) -> float:
+        t = x @ p
+        return float((np.logaddexp(0, t) - goal * t).sum() + 5e-4 * ((p - start) ** 2).sum())
+
+    p = start
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (q - goal) + 1e-3 * (p - [1, 0]))
-        p = p - np.clip(step, -2, 2)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (q - goal) + 1e-3 * (p - start))
+        while loss(p - step) > loss(p) and np.abs(step).max() > 1e-9:  # a whole step can lead away from the least loss
+            step = step / 2
+        p = p - step
         if np.abs(step).max() < 1e-8:
             break
     return float(p[0]), float(p[1] + p[0] * bias)
@@ -140,7 +148,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, name:
                 failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
                 p = 0.0
                 if fitted is not None and text:
-                    at, v = features(text.encode("utf-8"), words)
+                    at, v = features(text, words)
                     p = float(1 / (1 + np.exp(-np.clip(fitted[1] * float(v @ fitted[0][at]) + fitted[2], -50, 50))))
                 out.append((*c, failed, not failed and p < THRESHOLD, p))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])

@@ -177,3 +177,22 @@ def test_op13_detect_and_empty(spark):
     got = {r.doc_id: r for r in op13.detect(docs).collect()}
     assert [tuple(x) for x in got[1].runs] == [(3, 24, 2)] and got[1].collapsed == "a b c x y z" and got[2].runs == [] and got[2].collapsed == ""
     assert op13.report(docs.limit(0)).count() == 0 and op13.detect(docs.limit(0)).count() == 0
+
+
+def test_op2_calibration_and_character_grams():
+    from lumenquery.llm import op2_quality as op2
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.7 * z - 0.6)))).astype(float)
+    slope, intercept = op2._platt(z + 3.0, y, 3.0)  # the model's bias is in the scores, and comes back in the intercept
+    assert abs(slope - 1.7) < 0.2
+    p = 1 / (1 + np.exp(-(slope * z + intercept)))
+    for low in np.arange(0, 1, 0.1):
+        some = (p >= low) & (p < low + 0.1)
+        assert some.sum() < 50 or abs(p[some].mean() - y[some].mean()) < 0.08
+    # grams are of characters, whatever their bytes: as many for a text as for the same one in letters of two or three bytes
+    latin, greek, han = "abcdefgh" * 3, "αβγδεζηθ" * 3, "甲乙丙丁戊己庚辛" * 3
+    sizes = [len(op2.features(t, np.zeros(0, np.uint64))[0]) for t in (latin, greek, han)]
+    assert sizes == [16, 16, 16]
+    assert len(op2.features("abc", np.zeros(0, np.uint64))[0]) == 0

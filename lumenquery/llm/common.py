@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -42,9 +43,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files behind a written table are of no use any more, but stay until the driver collects its garbage, which a small heap rarely asks for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once all that read it are written themselves."""
     for df in tables:

@@ -43,12 +43,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
-    release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files behind a written table are of no use any more, but stay until the driver collects its garbage, which a small heap rarely asks for."""
+    """Shuffle files behind written tables are of no use any more, but stay until the driver collects its garbage, which it rarely has to; for between the larger steps of a job."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

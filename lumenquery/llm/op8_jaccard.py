@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh, materialize, small_batches, window_hashes, word_hashes
+from .common import components, discard, fresh, materialize, release, small_batches, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, SLOTS, MAX_MATCH, VERIFY_COST, BINS, CHUNKS = 20, 16, 4, 16.0, 8, 64
@@ -273,6 +273,7 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     p = own.select(*one, F.col("s.pos").alias("places"), F.explode("s").alias("s")).select(*one, "places", "s.*")
     p = postings = materialize(possible(p).drop("places", "alpha"), "postings")
     discard(mixed)
+    release(members.sparkSession)
     # only shingles that two components have within the sizes of a possible pair count
     x = p.select("fp", "comp", "pos", "h", F.explode(F.sequence(step(least_n), step(F.col("most")))).alias("step"))
     y = p.where("smaller").select("fp", "comp", "pos", "h", step(F.col("n")).alias("step"))
@@ -280,6 +281,7 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     keys = materialize(ends(x, "x").join(ends(y, "y"), ["h", "step"]).where("not (lox = hix and loy = hiy and lox = loy)").select("h", "step"), "keys")
     kept = some = materialize(x.drop("comp").withColumn("as_x", F.lit(True)).union(y.drop("comp").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
     discard(postings, keys)
+    release(members.sparkSession)
     # each class with what is left of its prefix: places in it, and low bits of the shingles
     own = kept.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "fp")
     own = own.select(*one, F.col("s.pos").alias("places"), F.transform("s", lambda s: s["h"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("low"))
@@ -287,6 +289,7 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     kept = possible(kept.join(own, "fp")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller"))).drop("alpha", "most", "smaller")
     kept = materialize(kept, "kept")
     discard(some, c)
+    release(members.sparkSession)
     x, y = kept.where("as_x"), kept.where("not as_x")
     large = kept.where("comp is not null").select("fp", "comp").distinct().groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("comp", F.col("comp").alias("g"))
     large = materialize(large, "large")
@@ -299,7 +302,9 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         item = F.struct("fp", "comp", "n", "matches", "pos", "places", "low", "spare")
         return materialize(df.groupBy("h", "step", F.col("g").alias(f"g{tag}"), "chunk").agg(F.collect_list(item).alias(f"m{tag}")).drop("chunk"), f"lists{tag}")
 
-    met = lists(x, "x").join(lists(y, "y"), ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == F.lit(b"")))
+    left, right = lists(x, "x"), lists(y, "y")
+    release(members.sparkSession)
+    met = left.join(right, ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == F.lit(b"")))
 
     def fits(x: Column, y: Column) -> Column:
         alpha = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent))
@@ -359,6 +364,7 @@ def count_links(comp: DataFrame, members: DataFrame, found: DataFrame, k: int, p
     with small_batches(spark):
         rows = more.join(found, "fp").select("comp", "step", "salt", "fp", "text").mapInArrow(sets, "comp binary, step int, salt long, fp binary, s binary")
         blocks = materialize(rows.groupBy("comp", "step", "salt").agg(F.collect_list(F.struct("fp", "s")).alias("m")), "blocks")
+    release(spark)
 
     def given(members) -> tuple[list[bytes], list[np.ndarray]]:
         return [m["fp"] for m in members], [np.frombuffer(m["s"], np.uint64) for m in members]
@@ -400,15 +406,20 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool
     pairs = materialize(first_links(members), "pairs")
     found = texts_of(pairs, docs, classes, k)
     links = materialize(verified(pairs, found, k, percent), "links")
+    release(docs.sparkSession)
     comp = components(links)
+    release(docs.sparkSession)
     pairs = materialize(candidates(members, comp, percent), "pairs")
     # prefixes and minima have done their part
     whole, members = members, materialize(members.select("doc_id", "fp", "n"), "members")
     with_fp = members.where("fp is not null")
     discard(whole)
+    release(docs.sparkSession)
     more = texts_of(pairs, docs, classes, k)
     links = materialize(links.union(verified(pairs, more, k, percent)), "alllinks")
+    release(docs.sparkSession)
     comp = components(links)
+    release(docs.sparkSession)
     label = classes.select("fp", "locate").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
     label = label.withColumn("comp", F.coalesce("comp", "fp"))
     least = with_fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("d"))

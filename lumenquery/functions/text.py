@@ -121,3 +121,17 @@ def keyword_hits(c: Column, terms: list[str]) -> Column:
     for t in terms:
         out = out + occurrences(c, t)
     return out
+
+
+def set_digest(row: Column) -> Column:
+    """AGG-17: an aggregate that tells a multiset of rows, whatever their order: the SHA-256 of two sums over 60 bits of each row's MD5.
+
+    Sums are added up before the shuffle, so a group moves as one row a task, however large it is.
+    """
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(row.cast("binary")), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", part(1), part(16)).cast("binary"), 256)
+
+
+def set_digest_sql(row: str) -> str:
+    part = lambda at: f"CAST(sum(CAST(CAST('0x' || substr(md5({row}), {at}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return f"sha256({part(1)} || ':' || {part(16)})"

@@ -371,13 +371,11 @@ def failure_report(spark, d):
     return s.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.when(F.size(names) > 0, F.array_join(names, ",")).alias("sources"))
 
 
-@query("""WITH l AS (SELECT source, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS h, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE n_chars < 100000 GROUP BY source, doc_id // 50), g AS (SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS digest, CAST(sum(n) AS BIGINT) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM l GROUP BY 1) SELECT source, n, chars, substr(digest, 1, 16) AS build FROM g""")
+@query(f"""SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, substr({T.set_digest_sql("concat_ws(':', doc_id, md5(text))")}, 1, 16) AS build FROM documents GROUP BY source""")
 def manifest(spark, d):
     """GV-02, MSC-06: counts and hashes of each part, and the build's id."""
-    x = table(spark, d, "documents").where("n_chars < 100000").select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 50).alias("b"), F.md5(F.col("text").cast("binary")).alias("h"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda s: s["h"]), "")
-    b = x.groupBy("source", "b").agg(F.md5(rows.cast("binary")).alias("h"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    return b.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).select("source", "n", "chars", F.substring("digest", 1, 16).alias("build"))
+    row = F.concat_ws(":", "doc_id", F.md5(F.col("text").cast("binary")))
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.substring(T.set_digest(row), 1, 16).alias("build"))
 
 
 @query("""WITH e AS (SELECT DISTINCT 'root' AS a, lang AS b FROM documents UNION SELECT DISTINCT lang, lang || '/' || source FROM documents UNION SELECT DISTINCT lang || '/' || source, 'd' || doc_id FROM documents WHERE n_chars > 5000)

@@ -101,11 +101,9 @@ def stable_ids(spark, d):
 
 
 def table_digest(spark, d):
-    """AGG-17: one digest a source, over its blocks' digests in order, a block's over its rows': no source is gathered whole."""
-    x = docs(spark, d).select("source", "doc_id", F.floor(F.col("doc_id") / 100).alias("block"), F.md5(F.col("text").cast("binary")).alias("h"))
-    chain = lambda order, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, h))), lambda r: r[h]), "").cast("binary"), 256)
-    blocks = x.groupBy("source", "block").agg(chain("doc_id", "h").alias("b"), F.count("*").alias("n"))
-    return blocks.groupBy("source").agg(chain("block", "b").alias("digest"), F.sum("n").alias("n"))
+    """AGG-17: one digest a source, from sums over its rows' hashes: no source is gathered, and order doesn't matter."""
+    row = F.concat_ws(":", "doc_id", F.md5(F.col("text").cast("binary")))
+    return docs(spark, d).groupBy("source").agg(T.set_digest(row).alias("digest"), F.count("*").alias("n"))
 
 
 def classify_documents(spark, d):
@@ -202,7 +200,7 @@ SELECT doc_id, round(CASE WHEN contains(t, 'thereand') THEN 1.0 ELSE len(list_in
 SELECT event_id, printf('%02d:%02d', s // 60, s % 60) AS mm_ss, printf('%02d:%02d:%02d,%03d', s // 3600, s % 3600 // 60, s % 60, event_id % 1000) AS srt FROM s""",
     "json_prop": "SELECT event_type, CAST(props->>'k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1, 2",
     "stable_ids": """WITH r AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS r FROM documents) SELECT doc_id, sha256(r) AS row_sha256, 'doc-' || substr(sha256(r), 1, 16) AS short_id FROM r""",
-    "table_digest": "WITH b AS (SELECT source, doc_id // 100 AS block, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS b, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, sha256(string_agg(b, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source",
+    "table_digest": f"SELECT source, {T.set_digest_sql("concat_ws(':', doc_id, md5(text))")} AS digest, count(*) AS n FROM documents GROUP BY source",
     "classify_documents": _CLASSIFY,
     "classify_override": f"""WITH a AS ({_CLASSIFY}), m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'review' END AS manual FROM labels WHERE toxic = 1 OR quality = 0)
 SELECT a.doc_id, coalesce(manual, decision) AS final, manual IS NOT NULL AND manual <> decision AS drift FROM a LEFT JOIN m USING (doc_id)""",

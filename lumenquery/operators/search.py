@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenquery.functions import text as T
 
+from . import automaton as A
 from . import retrieval as R
 
-ANCHOR = 3
 GRAM_WEIGHTS = {"title": 24.0, "body": 14.0}
 FOCUS_BONUS, FOCUS_MOST = {"title": 33.0, "body": 8.0}, 3
 
 
 def lexicon_postings(fields: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """JON-06: (term, doc_id, tf and length of each field) of the lexicon's terms that a field holds.
-
-    A term is met through its first ANCHOR characters, which the documents' distinct grams are joined to; then it is
-    looked for.  The join is by key, however long the lexicon is; terms shorter than the anchor meet every document.
-    """
+    """JON-06: (term, doc_id, tf and length of each field) of the lexicon's terms that a field holds, from one pass over the fields, however long the lexicon is."""
     names = list(R.FIELD_WEIGHTS)
-    grams = F.array_distinct(F.concat(*[T.grams(F.col(n), ANCHOR) for n in names]))
-    keyed = lexicon.where(F.length("term") >= ANCHOR).withColumn("gram", F.substring("term", 1, ANCHOR))
-    met = fields.select("doc_id", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc_id", "term")
-    short = fields.select("doc_id").join(F.broadcast(lexicon.where(F.length("term") < ANCHOR)))
-    tf = lambda n: ((F.length(n) - F.length(F.replace(F.col(n), F.col("term"), F.lit("")))) / F.length("term")).cast("int")
-    x = met.union(short.select("doc_id", "term")).join(fields, "doc_id")
-    return x.select("term", "doc_id", *[F.length(n).alias(f"len_{n}") for n in names], *[tf(n).alias(f"tf_{n}") for n in names]).where(" + ".join(f"tf_{n}" for n in names) + " > 0")
+    x = fields.select("doc_id", *names, *[F.length(n).alias(f"len_{n}") for n in names])
+    hit = A.counts(x, ["doc_id", *(f"len_{n}" for n in names)], names, lexicon.select("term"))
+    return hit.select("term", "doc_id", *[f"len_{n}" for n in names], *[F.col(f"n_{n}").cast("int").alias(f"tf_{n}") for n in names])
 
 
 def gram_postings(fields: DataFrame, sizes: dict[str, list[int]]) -> DataFrame:
@@ -60,10 +54,9 @@ def keyword_scores(postings: DataFrame, stats: DataFrame, weights: dict[str, flo
 
 def semantic_scores(grams: DataFrame, stats: DataFrame, query: str, k: int) -> DataFrame:
     """RT-02/03: (doc_id, gram_score): weighted coverage of the query's grams by each channel; a gram's df counts a document once."""
-    spark = grams.sparkSession
-    q = spark.createDataFrame([(g,) for g in sorted({query[i : i + k] for i in range(len(query) - k + 1)})], "g string")
-    q = q.select(T.gram_hash(F.col("g")).alias("gram_id"))
-    hit = grams.join(F.broadcast(q), "gram_id")
+    # the question's hashes stand in the filter, which the scan takes: the other grams' row groups aren't read
+    asked = sorted({hashlib.md5(query[i : i + k].encode()).hexdigest()[:12] for i in range(len(query) - k + 1)})
+    hit = grams.where(F.col("gram_id").isin(asked))
     df = hit.groupBy("gram_id").agg(F.countDistinct("doc_id").alias("df"))
     w = df.join(F.broadcast(stats)).select("gram_id", F.log(1 + (F.col("n") + 1) / (F.col("df") + 1)).alias("w"))
     total = w.agg(F.sum("w").alias("total"))

@@ -20,11 +20,11 @@ BONUS = {"reviewed": 5.0, "unlabelled": 2.5}
 
 def postings(spark, d):
     lexicon = lambda: spark.createDataFrame([(t,) for t in LEXICON], "term string")
-    return once(spark, f"postings {LEXICON}", [f"{d}/documents.parquet"], lambda: S.lexicon_postings(_fields(spark, d), lexicon()).repartition("term").sortWithinPartitions("term", "doc_id"))
+    return once(spark, f"postings {LEXICON}", [f"{d}/documents.parquet"], lambda: S.lexicon_postings(_fields(spark, d), lexicon()).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
 
 
 def grams(spark, d):
-    return once(spark, f"grams {SIZES}", [f"{d}/documents.parquet"], lambda: S.gram_postings(_fields(spark, d), SIZES).repartition("gram_id").sortWithinPartitions("gram_id"))
+    return once(spark, f"grams {SIZES}", [f"{d}/documents.parquet"], lambda: S.gram_postings(_fields(spark, d), SIZES).repartitionByRange("gram_id", "doc_id").sortWithinPartitions("gram_id"))
 
 
 def stats(spark, d):

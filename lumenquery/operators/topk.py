@@ -76,6 +76,19 @@ def questions(rows: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     return w.groupBy("question", "term").agg(F.least(F.count("*"), F.lit(most)).alias("times"))
 
 
+def families(known: DataFrame, df: DataFrame, head: int, k: int) -> DataFrame:
+    """(cue, term): for each word of `known` (term) the k most frequent index terms that begin as it does, by `head` letters: plain words of more than `head` letters."""
+    plain = lambda x: x.where((F.length("term") > head) & F.col("term").rlike("^[a-z]+$")).withColumn("head", F.substring("term", 1, head))
+    j = plain(known.select("term").distinct()).withColumnRenamed("term", "cue").join(plain(df), "head").where("term <> cue and df > 1")
+    return first_of(j.select("cue", "term", "df"), "cue", [F.desc("df"), "term"], k, "term").select("cue", "term")
+
+
+def expanded(asked: DataFrame, rules: DataFrame, times: float) -> DataFrame:
+    """RT-05: questions with the terms that their words imply, by rules (cue, term); a term counts by the greatest of its weights."""
+    more = asked.join(rules.withColumnRenamed("term", "implied"), asked["term"] == F.col("cue")).select("question", F.col("implied").alias("term"), F.lit(times).alias("times"))
+    return asked.select("question", "term", F.col("times").cast("double").alias("times")).union(more).groupBy("question", "term").agg(F.max("times").alias("times"))
+
+
 def weighted(asked: DataFrame, df: DataFrame, n: int) -> DataFrame:
     """(question, term, weight): times the inverse document frequency, as integers."""
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -235,13 +235,18 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     First only (hash, component) pairs move, to find the hashes that several components have; a filter of a
     fixed size on these thins the prefixes out before the postings move.
     """
+    spark = members.sparkSession
     one = members.where("fp is not null").groupBy("fp").agg(F.min(F.struct("n", "matches", "prefix")).alias("x")).select("fp", "x.*")
-    c = one.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left")  # no comp: a component of its own
-    c = materialize(c, "prefixes")
-    of = F.coalesce("comp", "fp")
-    p = c.select(F.xxhash64(of).alias("c"), F.explode("prefix").alias("h"))
+    c = one.join(comp.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("id", F.monotonically_increasing_id())
+    named = materialize(c, "prefixes")
+    # from here on classes and components are numbers: a component is the least of its classes, without one a class is its own
+    own = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("of"))
+    c = materialize(named.join(own, "comp", "left").select("id", F.coalesce("of", "id").alias("of"), "n", "matches", "prefix"), "numbered")
+    names = materialize(named.select("id", "fp"), "names")
+    discard(named)
+    p = c.select(F.col("of").alias("c"), F.explode("prefix").alias("h"))
     mixed = materialize(p.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"), "mixed")
-    shared = members.sparkSession.sparkContext.broadcast(bounded_filter(mixed.select(F.col("h").alias("v"))))
+    shared = spark.sparkContext.broadcast(bounded_filter(mixed.select(F.col("h").alias("v"))))
     buckets = c.withColumn("at", F.transform("prefix", lambda h: F.xxhash64(h)))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +256,9 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(row[hit])), pa.array(pos[hit].astype(np.int32)), lists.flatten().filter(pa.array(hit))], ["fp", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[hit])), pa.array(pos[hit].astype(np.int32)), lists.flatten().filter(pa.array(hit))], ["id", "pos", "h"])
 
-    p = buckets.select("fp", "prefix", "at").mapInArrow(thin, "fp binary, pos int, h long").join(mixed, "h", "left_semi")
+    p = buckets.select("id", "prefix", "at").mapInArrow(thin, "id long, pos int, h long").join(mixed, "h", "left_semi")
     # A pair of least match count l shares l shingles before place n - alpha + l of both: so this one and the l-th shared
     # one lie before it, which bounds alpha, and with it the partner's size.  What has no possible partner goes.
     # Sizes fall into steps of ratio 100 / percent: the larger of a pair, x, looks into its own step and the one below.
@@ -267,59 +272,67 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         p = p.where((F.col("most") >= least_n) & (F.col("alpha") >= least_n))
         return p.withColumn("smaller", F.col("alpha") >= F.ceil(F.col("n") * 2 * percent / (100 + percent)))  # of one size at best
 
-    one = ["fp", "comp", "n", "matches"]
+    one = ["id", "of", "n", "matches"]
     about = c.select(*one)  # postings move without what belongs to their class
-    own = p.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("s")).join(about, "fp")
+    own = p.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("s")).join(about, "id")
     p = own.select(*one, F.col("s.pos").alias("places"), F.explode("s").alias("s")).select(*one, "places", "s.*")
     p = postings = materialize(possible(p).drop("places", "alpha"), "postings")
     discard(mixed)
-    release(members.sparkSession)
+    release(spark)
     # only shingles that two components have within the sizes of a possible pair count
-    x = p.select("fp", "comp", "pos", "h", F.explode(F.sequence(step(least_n), step(F.col("most")))).alias("step"))
-    y = p.where("smaller").select("fp", "comp", "pos", "h", step(F.col("n")).alias("step"))
-    ends = lambda df, tag: df.groupBy("h", "step").agg(F.min(F.xxhash64(of)).alias(f"lo{tag}"), F.max(F.xxhash64(of)).alias(f"hi{tag}"))
+    x = p.select("id", "of", "pos", "h", F.explode(F.sequence(step(least_n), step(F.col("most")))).alias("step"))
+    y = p.where("smaller").select("id", "of", "pos", "h", step(F.col("n")).alias("step"))
+    ends = lambda df, tag: df.groupBy("h", "step").agg(F.min("of").alias(f"lo{tag}"), F.max("of").alias(f"hi{tag}"))
     keys = materialize(ends(x, "x").join(ends(y, "y"), ["h", "step"]).where("not (lox = hix and loy = hiy and lox = loy)").select("h", "step"), "keys")
-    kept = some = materialize(x.drop("comp").withColumn("as_x", F.lit(True)).union(y.drop("comp").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
+    kept = some = materialize(x.drop("of").withColumn("as_x", F.lit(True)).union(y.drop("of").withColumn("as_x", F.lit(False))).join(keys, ["h", "step"]), "kept")
     discard(postings, keys)
-    release(members.sparkSession)
+    release(spark)
     # each class with what is left of its prefix: places in it, and low bits of the shingles
-    own = kept.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "fp")
+    own = kept.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("s")).join(about, "id")
     own = own.select(*one, F.col("s.pos").alias("places"), F.transform("s", lambda s: s["h"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("low"))
-    own = own.withColumn("spare", F.size("low") - F.size(F.array_distinct("low")))
-    kept = possible(kept.join(own, "fp")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller"))).drop("alpha", "most", "smaller")
-    kept = materialize(kept, "kept")
+    own = materialize(own.withColumn("spare", F.size("low") - F.size(F.array_distinct("low"))), "own")
+    kept = possible(kept.join(own.drop("low", "spare"), "id")).where(F.when(F.col("as_x"), F.col("step") <= step(F.col("most"))).otherwise(F.col("smaller")))
+    kept = materialize(kept.select("id", "of", "h", "step", "pos", "as_x"), "kept")
     discard(some, c)
-    release(members.sparkSession)
+    release(spark)
     x, y = kept.where("as_x"), kept.where("not as_x")
-    large = kept.where("comp is not null").select("fp", "comp").distinct().groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("comp", F.col("comp").alias("g"))
+    large = kept.select("id", "of").distinct().groupBy("of").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("of", F.col("of").alias("g"))
     large = materialize(large, "large")
 
     def lists(df: DataFrame, tag: str) -> DataFrame:
         """Lists of bounded size: of one large component, or of all others."""
-        df = df.join(large, "comp", "left").withColumn("g", F.coalesce("g", F.lit(b"")))
+        df = df.join(large, "of", "left").withColumn("g", F.coalesce("g", F.lit(-1).cast("long")))
         sizes = df.groupBy("h", "step", "g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
-        df = df.join(sizes, ["h", "step", "g"], "left").withColumn("chunk", F.expr("pmod(xxhash64(fp), coalesce(chunks, 1))"))
-        item = F.struct("fp", "comp", "n", "matches", "pos", "places", "low", "spare")
+        df = df.join(sizes, ["h", "step", "g"], "left").withColumn("chunk", F.expr("pmod(xxhash64(id), coalesce(chunks, 1))"))
+        # what a class shares is joined on here, so it only moves with the list that needs it
+        df = df.select("id", "h", "step", "g", "chunk", "pos").join(own, "id")
+        item = F.struct("id", "of", "n", "matches", "pos", "places", "low", "spare")
         return materialize(df.groupBy("h", "step", F.col("g").alias(f"g{tag}"), "chunk").agg(F.collect_list(item).alias(f"m{tag}")).drop("chunk"), f"lists{tag}")
 
-    left, right = lists(x, "x"), lists(y, "y")
-    release(members.sparkSession)
-    met = left.join(right, ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == F.lit(b"")))
+    left = lists(x, "x")
+    release(spark)
+    right = lists(y, "y")
+    discard(kept, own)
+    release(spark)
+    met = left.join(right, ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == -1))
 
     def fits(x: Column, y: Column) -> Column:
         alpha = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent))
         least = F.least(x["matches"], y["matches"])
-        larger = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["fp"] < x["fp"]))
+        larger = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["id"] < x["id"]))
         end = lambda z: z["n"] - alpha + least
         early = lambda z: F.greatest(z["pos"], F.coalesce(F.get(z["places"], least - 1), F.lit(1 << 30))) < end(z)
         within = lambda z: F.slice(z["low"], 1, F.size(F.filter(z["places"], lambda at: at < end(z))))
         # low bits of the shingles: those that share theirs with another count once, so their number is added; what that lets through too much is verified
         common = F.size(F.array_intersect(within(x), within(y))) + x["spare"]
-        other = F.coalesce(x["comp"], x["fp"]) != F.coalesce(y["comp"], y["fp"])
-        return other & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (common >= least)
+        return (x["of"] != y["of"]) & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (common >= least)
 
-    found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
-    return met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct()
+    found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    pairs = materialize(met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct(), "numbers")
+    discard(left, right)
+    release(spark)
+    of = lambda c: names.select(F.col("id").alias(c), F.col("fp").alias(f"fp{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:

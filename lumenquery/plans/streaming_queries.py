@@ -69,15 +69,15 @@ def _outcomes(rows):
 
 
 def continuation_batch(spark, d):
-    events = _events(spark, d)
-    until = events.agg(F.unix_millis(F.max("ts")).alias("m")).first()["m"] or 0
-    return _outcomes(C.in_batch(_dialogue(events), TTL, TURNS, until))
+    events = _dialogue(_events(spark, d))
+    until = events.agg(F.unix_millis(F.max("at")).alias("m")).first()["m"] or 0
+    return _outcomes(C.in_batch(events, TTL, TURNS, until))
 
 
 def continuation_stream(spark, d):
-    """QU-09/10: the same dialogues as a stream with keyed state and timers; the last watermark is the time of the last event."""
+    """QU-09/10: the same dialogues as a stream with keyed state and timers; the last watermark is the time of the last event that they have."""
     f = _folder(spark)
-    events = _dialogue(S.read_events(spark, f"{d}/events.parquet", "0 seconds"))
+    events = _dialogue(S.read_events(spark, f"{d}/events.parquet", None)).withWatermark("at", "0 seconds")
     with C.state_store(spark):
         S.run_once(C.streamed(events, TTL, TURNS), f"{f}/out", f"{f}/checkpoint", "append")
     return _outcomes(spark.read.schema(C.OUT).parquet(f"{f}/out"))
@@ -92,19 +92,22 @@ def _sides(events):
     return side("click"), side("purchase")
 
 
+def _told(spark, d):
+    """Until when both sides have told all: the lesser of their last times, which is also the two streams' last watermark."""
+    return F.lit(min((side.agg(F.max("at")).first()[0] for side in _sides(_events(spark, d))), key=lambda t: (t is not None, t)))
+
+
 def reconcile_batch(spark, d):
-    events = _events(spark, d)
-    return R.outcomes(R.meet(*_sides(events), WITHIN), F.lit(events.agg(F.max("ts")).first()[0]), WITHIN, ON_TIME)
+    return R.outcomes(R.meet(*_sides(_events(spark, d)), WITHIN), _told(spark, d), WITHIN, ON_TIME)
 
 
 def reconcile_stream(spark, d):
     """JON-21, ST-06: clicks against purchases that follow them, both as streams; nulls come with the watermark."""
     f = _folder(spark)
-    left = _sides(S.read_events(spark, f"{d}/events.parquet", "0 seconds"))[0]
-    right = _sides(S.read_events(spark, f"{d}/events.parquet", "0 seconds"))[1]
+    left, right = (_sides(S.read_events(spark, f"{d}/events.parquet", None))[i].withWatermark("at", "0 seconds") for i in (0, 1))
     S.run_once(R.meet(left, right, WITHIN), f"{f}/out", f"{f}/checkpoint", "append")
     met = spark.read.schema("key long, announced_id long, announced_at timestamp, arrived_id long, arrived_at timestamp").parquet(f"{f}/out")
-    return R.outcomes(met, F.lit(_events(spark, d).agg(F.max("ts")).first()[0]), WITHIN, ON_TIME)  # the last watermark
+    return R.outcomes(met, _told(spark, d), WITHIN, ON_TIME)
 
 
 QUERIES = {f.__name__: f for f in (tumbling_1d, sliding_1d_6h, session_30m, stream_tumbling, stream_dedupe, continuation_batch, continuation_stream, reconcile_batch, reconcile_stream)}
@@ -121,9 +124,9 @@ FROM (SELECT *, CASE WHEN ask AND w[r + 1] IS NULL THEN 'asked' WHEN ask THEN 'r
 FROM (SELECT st.* EXCLUDE (i, w), ev.i, ev.tm, ev.event_id, ev.ask, ev.r, list_transform(st.w, lambda x: CASE WHEN x + {TTL} < ev.tm THEN NULL ELSE x END) AS w, CAST(len(list_filter(st.w, lambda x: x + {TTL} < ev.tm)) AS INTEGER) AS gone
 FROM st JOIN ev ON ev.key = st.key AND ev.i = st.i + 1)))
 SELECT key, CAST(asked AS BIGINT) AS asked, CAST(repeated AS BIGINT) AS repeated, CAST(resolved AS BIGINT) AS resolved, CAST(stale AS BIGINT) AS stale, CAST(refused AS BIGINT) AS refused,
-CAST(expired + len(list_filter(w, lambda x: x + {TTL} < until)) AS BIGINT) AS expired, digest FROM st, (SELECT epoch_ms(max(ts)) AS until FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1"""
+CAST(expired + len(list_filter(w, lambda x: x + {TTL} < until)) AS BIGINT) AS expired, digest FROM st, (SELECT max(tm) AS until FROM ev) QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1"""
 
-_RECONCILE = """WITH u AS (SELECT max(ts) AS until FROM events), a AS (SELECT user_id AS key, event_id, ts FROM events, u WHERE event_type = 'click' AND ts + INTERVAL 2 DAY < until),
+_RECONCILE = """WITH u AS (SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'purchase')) AS until FROM events), a AS (SELECT user_id AS key, event_id, ts FROM events, u WHERE event_type = 'click' AND ts + INTERVAL 2 DAY < until),
 b AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'),
 m AS (SELECT key, a.event_id AS announced_id, a.ts AS t, b.event_id AS arrived_id, b.ts AS s FROM a LEFT JOIN b ON b.user_id = key AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAY QUALIFY row_number() OVER (PARTITION BY key, announced_id ORDER BY s, arrived_id) = 1)
 SELECT key, announced_id, CASE WHEN arrived_id IS NULL THEN 'missing' WHEN s <= t + INTERVAL 6 HOUR THEN 'matched' ELSE 'late' END AS outcome, arrived_id FROM m"""

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, lateness: str = "2 days", files: int = 8) -> DataFrame:
-    """A stream of the event files of a folder; event time in UTC, with a watermark."""
+def read_events(spark: SparkSession, path: str, lateness: str | None = "2 days", files: int = 8) -> DataFrame:
+    """A stream of the event files of a folder; event time in UTC, with a watermark (none if lateness is null)."""
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withWatermark("ts", lateness) if lateness else stream
 
 
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:

@@ -115,7 +115,7 @@ def test_stored_once(spark):
     calls = []
     build = lambda: calls.append(1) or spark.range(3)
     key = str(dt.datetime.now())
-    assert stored.once(spark, key, build).count() == stored.once(spark, key, build).count() == 3 and len(calls) == 1
+    assert stored.once(spark, key, [], build).count() == stored.once(spark, key, [], build).count() == 3 and len(calls) == 1
 
 
 def test_late_rows_go(spark, tmp_path):

@@ -241,7 +241,9 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     named = materialize(c, "prefixes")
     # from here on classes and components are numbers: a component is the least of its classes, without one a class is its own
     own = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("of"))
-    c = materialize(named.join(own, "comp", "left").select("id", F.coalesce("of", "id").alias("of"), "n", "matches", "prefix"), "numbered")
+    columns = ["id", "of", "n", "matches", "prefix"]
+    alone = named.where("comp is null").withColumn("of", F.col("id")).select(*columns)  # no join: nulls would meet in one task
+    c = materialize(named.where("comp is not null").join(own, "comp").select(*columns).union(alone), "numbered")
     names = materialize(named.select("id", "fp"), "names")
     discard(named)
     p = c.select(F.col("of").alias("c"), F.explode("prefix").alias("h"))

@@ -100,10 +100,29 @@ def stable_ids(spark, d):
     return x.select("doc_id", F.sha2(row.cast("binary"), 256).alias("row_sha256"), T.short_id("doc-", row).alias("short_id"))
 
 
+#: Levels of 100 blocks each below a source's own digest: 100 million ids are 100 blocks of the last level.
+LEVELS = 4
+
+
 def table_digest(spark, d):
-    """AGG-17: one digest a source, from sums over its rows' hashes: no source is gathered, and order doesn't matter."""
-    row = F.concat_ws(":", "doc_id", F.md5(F.col("text").cast("binary")))
-    return docs(spark, d).groupBy("source").agg(T.set_digest(row).alias("digest"), F.count("*").alias("n"))
+    """AGG-17: one digest a source, which depends on order: a SHA-256 over the digests of its blocks in order, LEVELS deep, the lowest over rows.
+
+    A block holds 100 ids or 100 blocks of the level below, so no source is gathered whole.
+    """
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = F.concat_ws(":", part(F.col("doc_id")), part(F.md5(F.col("text").cast("binary"))))
+    x = docs(spark, d).select("source", F.col("doc_id").alias("place"), F.sha2(row.cast("binary"), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    chain = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.isnull("place"), "place", "h"))), lambda r: r["h"]), "").cast("binary"), 256)
+    for _ in range(LEVELS):
+        x = x.groupBy("source", F.expr("place div 100").alias("block")).agg(chain.alias("h"), F.sum("n").alias("n")).withColumnRenamed("block", "place")
+    return x.groupBy("source").agg(chain.alias("digest"), F.sum("n").alias("n"))
+
+
+def _table_digest_sql():
+    level = "SELECT source, place // 100 AS place, sha256(string_agg(h, '' ORDER BY place NULLS LAST, h)) AS h, CAST(sum(n) AS BIGINT) AS n FROM l{} GROUP BY source, place // 100"
+    levels = ", ".join(f"l{i + 1} AS ({level.format(i)})" for i in range(LEVELS))
+    rows = "SELECT source, doc_id AS place, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h, 1 AS n FROM documents"
+    return f"WITH l0 AS ({rows}), {levels} SELECT source, sha256(string_agg(h, '' ORDER BY place NULLS LAST, h)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l{LEVELS} GROUP BY source"
 
 
 def classify_documents(spark, d):
@@ -200,7 +219,7 @@ SELECT doc_id, round(CASE WHEN contains(t, 'thereand') THEN 1.0 ELSE len(list_in
 SELECT event_id, printf('%02d:%02d', s // 60, s % 60) AS mm_ss, printf('%02d:%02d:%02d,%03d', s // 3600, s % 3600 // 60, s % 60, event_id % 1000) AS srt FROM s""",
     "json_prop": "SELECT event_type, CAST(props->>'k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1, 2",
     "stable_ids": """WITH r AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS r FROM documents) SELECT doc_id, sha256(r) AS row_sha256, 'doc-' || substr(sha256(r), 1, 16) AS short_id FROM r""",
-    "table_digest": f"SELECT source, {T.set_digest_sql("concat_ws(':', doc_id, md5(text))")} AS digest, count(*) AS n FROM documents GROUP BY source",
+    "table_digest": _table_digest_sql(),
     "classify_documents": _CLASSIFY,
     "classify_override": f"""WITH a AS ({_CLASSIFY}), m AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'exclude' WHEN quality = 0 THEN 'review' END AS manual FROM labels WHERE toxic = 1 OR quality = 0)
 SELECT a.doc_id, coalesce(manual, decision) AS final, manual IS NOT NULL AND manual <> decision AS drift FROM a LEFT JOIN m USING (doc_id)""",

@@ -44,8 +44,8 @@ class Encoder:
     """Encodes texts of a batch by their words, each word once.
 
     A-Z are lowered first, as the tokenizer does anyway.  Sentence marks behind a letter are tokens of their own, so a
-    word with them is its core and they.  Plain lower-case words are encoded many at a time: each is then one run of pieces, the last with
-    the vocabulary's word end.
+    word with them is its core and they.  Words are encoded many at a time: a plain lower-case one is then one run of pieces, the last with
+    the vocabulary's word end; the ids of others are told by the places of their characters.
     """
 
     MARKS = b".,!?;:"
@@ -69,18 +69,31 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.known.update((w, x.tobytes()) for (w, _), x in zip(some, np.split(ids, cuts[:-1]), strict=True))
+                self.keep(some, ids, cuts)
             else:
                 other += some
-        for w, text in other:
-            self.known[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        for i in range(0, len(other), 500):
+            some = other[i : i + 500]
+            if any(s in " ".join(t for _, t in some) for s in self.special):
+                apart = [x for x in some if any(s in x[1] for s in self.special)]
+                self.known.update((w, np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32).tobytes()) for w, t in apart)
+                some = [x for x in some if x not in apart]
+            text = " ".join(t for _, t in some)
+            # a token is of the word that its first character is in
+            got = self.tokenizer.encode(text, add_special_tokens=False)
+            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+            self.keep(some, np.array(got.ids, np.int32), np.searchsorted(first, np.cumsum([len(t) + 1 for _, t in some])))
+
+    def keep(self, words: list[tuple[bytes, str]], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (4 * np.append(0, ends)).tolist()
+        self.known.update(zip((w for w, _ in words), map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raws = [t.encode("utf-8").lower() for t in texts]
         words = [r.split() for r in raws]
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = {w for ws in words for w in ws}.difference(self.known)
+        fresh = set().union(*words).difference(self.known)
         cores = {w: core for w in fresh if (core := w.rstrip(self.MARKS)) != w and core[-1:].isalpha()}
         self.learn(list(((fresh - cores.keys()) | set(cores.values()) | {w[len(c) :] for w, c in cores.items()}).difference(self.known)))
         self.known.update({w: self.known[c] + self.known[w[len(c) :]] for w, c in cores.items()})

@@ -48,7 +48,7 @@ MULT = np.uint64(0x9FB21C651E98DF25)
 #: Numbers of words: start marks, then the training words, and at the end those that training doesn't have.
 START, UNKNOWN = 0, (1 << 32) - 1
 #: log2 of a bucket's keys, and bits of a key that a table leaves out.
-BUCKET, LEFT = 5, np.uint64(24)
+BUCKET, LEFT = 3, np.uint64(24)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,7 +88,9 @@ def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     wide = rows.astype(np.uint64)
     odd = wide.shape[1] % 2
     keys = [wide[:, 0]] * odd + [wide[:, i] << np.uint64(32) | wide[:, i + 1] for i in range(odd, wide.shape[1], 2)]
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[-1])
+    for k in keys[-2::-1]:  # in less time than lexsort
+        order = order[np.argsort(k[order], kind="stable")]
     new = np.ones(len(rows), bool)
     new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], 0)
     first = np.flatnonzero(new)
@@ -190,12 +192,23 @@ class Table:
 
 def by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, and its rows in their order."""
-    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")  # 16 bits take a pass each
     cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, order[cuts[s] : cuts[s + 1]]
 
 
+def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one of each, and each key's number among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[new], order[new], number
+
+
 class Words:
     """The memory-mapped numbers and counts of the training words."""
 
@@ -203,7 +216,7 @@ class Words:
         self.shards, self.files = shards, {}
         for kind, shard, uri, _, n, *_ in manifest:
             if kind == "word":
-                raw = mapped(uri, np.uint8)
+                raw = np.asarray(mapped(uri, np.uint8))
                 self.files[shard] = raw[: 8 * n].view(np.uint64), raw[8 * n : 12 * n].view(np.uint32), raw[12 * n :].view(np.uint32 if len(raw) == 16 * n else np.int64)
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +280,7 @@ def train(docs: DataFrame, order: int = 2) -> list:
         for s, raws in _gathered(batches):
             h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in raws])
             n = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8) for x in raws]).astype(np.int64)
-            word, at = np.unique(h, return_inverse=True)
+            word, _, at = alike(h)
             c = np.zeros(len(word), np.int64)
             np.add.at(c, at, n)
             rank = np.empty(len(word), np.int64)
@@ -319,7 +332,7 @@ def train(docs: DataFrame, order: int = 2) -> list:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(numbered.value, shards)
         for h, sizes in held(batches):
-            word, at = np.unique(h, return_inverse=True)
+            word, _, at = alike(h)
             g = grams(words.find(word)[0][at], sizes, order)
             for s, raw in deal(g, np.ones(len(g), np.int64), shards):
                 yield block(s, raw)
@@ -355,10 +368,10 @@ class Model:
         for kind, shard, uri, *numbers in manifest:
             sums[kind] += numbers
             if kind == "near":
-                raw = mapped(uri, np.uint8)
+                raw = np.asarray(mapped(uri, np.uint8))
                 self.tables[kind][shard] = raw.view(np.uint32 if len(raw) == 4 * numbers[1] else np.int64)
             elif kind != "word":
-                self.tables[kind][shard] = Table(mapped(uri, np.uint8))
+                self.tables[kind][shard] = Table(np.asarray(mapped(uri, np.uint8)))
         self.n, self.v = int(sums["word"][0]), int(sums["word"][1])
         self.pairs = int(sums["pair-2"][1])
         self.d, self.dc = {i: discounts(sums[f"pair-{i}"][2:].tolist()) for i in range(2, self.order + 1)}, discounts(sums["near"][2:].tolist())
@@ -388,7 +401,7 @@ class Model:
     def score(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: its training count, base log10 probability and the model's."""
         size = np.uint64(self.shards)
-        word, iw = np.unique(h, return_inverse=True)
+        word, _, iw = alike(h)
         ids, c = self.words.find(word)
         base = np.log10((c + 1) / (self.n + 1 * (self.v + 1)))
         low, near = 1 / (self.v + 1), self.near(ids)
@@ -396,14 +409,18 @@ class Model:
         p, g = pc[iw], grams(ids[iw], sizes, self.order)
         for level in range(2, self.order + 1):
             u = context_hash(g[:, self.order - level : -1])
-            ctx, iu = np.unique(u, return_inverse=True)
+            pair, first, ip = alike(pair_hash(u, g[:, -1].astype(np.uint64)))
+            n = np.zeros((1, len(pair)), np.int64)
+            seen = self.find(f"pair-{level}", u[first] % size, pair, n)
+            ctx, _, iu = alike(u)
             n1, n2, n3, total = stats = np.zeros((4, len(ctx)), np.int64)
-            rest = np.flatnonzero(~self.find(f"context-{level}", ctx % size, ctx, stats))
-            once = rest[self.find(f"once-{level}", ctx[rest] % size, ctx[rest], stats[:0])]
+            often = self.find(f"context-{level}", ctx % size, ctx, stats)
+            once = np.zeros(len(ctx), bool)
+            once[iu[first[seen]]] = True  # a seen pair's context is in one of the two tables
+            rest = np.flatnonzero(~(often | once))
+            once[rest] = self.find(f"once-{level}", ctx[rest] % size, ctx[rest], stats[:0])
+            once &= ~often
             n1[once] = total[once] = 1
-            pair, first, ip = np.unique(pair_hash(u, g[:, -1].astype(np.uint64)), return_index=True, return_inverse=True)
-            n = np.zeros((1, len(pair)), np.int64)
-            self.find(f"pair-{level}", u[first] % size, pair, n)
             d, t, n = self.d[level], total[iu], n[0]
             mass = (d[1] * n1 + d[2] * n2 + d[3] * n3)[iu]
             p = np.where(t > 0, (np.maximum(n - d[np.minimum(n, 3)], 0)[ip] + mass * p) / np.maximum(t, 1), p)

@@ -19,7 +19,7 @@ rows; repeated rows are written as often as they come.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ from .common import new_folder, small_batches
 
 #: SLICE: documents encoded at a time.
 END, CACHE, SLICE, ROW_GROUP, PAGE_ROWS = 1, 700_000, 256, 32 << 20, 2000
+END_BYTES = np.int32(END).tobytes()
 
 
 def tokenizer_path() -> str:
@@ -45,33 +46,45 @@ class Encoder:
 
     A-Z are lowered first, as the tokenizer does anyway.  Sentence marks behind a letter are tokens of their own, so a
     word with them is its core and they.  Words are encoded many at a time: a plain lower-case one is then one run of pieces, the last with
-    the vocabulary's word end; the ids of others are told by the places of their characters.
+    the vocabulary's word end; the ids of others are told by the places of their characters.  The tokenizer's rules of normal forms and of
+    what a word is change nothing in words of a-z alone, so its model gets these without them.
     """
 
     MARKS = b".,!?;:"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}  # a word and its ids
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            text = w.decode("utf-8")
-            (plain if text.isalpha() and text.islower() and max(text) < "\u0250" else other).append((w, text))
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, np.int32)
+    def learn(self, words: set[bytes]) -> None:
+        letters = [w for w in words if w.isalpha()]  # of bytes: a-z, as A-Z are lowered
+        other = self.learn_plain(letters, lambda t: self.bare.encode_batch_fast([t], add_special_tokens=False)[0].ids)
+        rest = [(w, w.decode("utf-8")) for w in words.difference(letters)]
+        plain = [w for w, text in rest if text.isalpha() and text.islower() and max(text) < "\u0250"]
+        other += self.learn_plain(plain, lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
+        plain = set(plain)
+        self.learn_other([(w, w.decode("utf-8")) for w in other] + [x for x in rest if x[0] not in plain])
+
+    def learn_plain(self, words: list[bytes], encode: Callable[[str], list[int]]) -> list[bytes]:
+        """Returns the words that can't be told apart by their ends."""
+        other = []
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(encode(b" ".join(some).decode("utf-8")), np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 self.keep(some, ids, cuts)
             else:
                 other += some
+        return other
+
+    def learn_other(self, other: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(other), 500):
             some = other[i : i + 500]
             if any(s in " ".join(t for _, t in some) for s in self.special):
@@ -82,28 +95,33 @@ class Encoder:
             # a token is of the word that its first character is in
             got = self.tokenizer.encode(text, add_special_tokens=False)
             first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
-            self.keep(some, np.array(got.ids, np.int32), np.searchsorted(first, np.cumsum([len(t) + 1 for _, t in some])))
+            self.keep([w for w, _ in some], np.array(got.ids, np.int32), np.searchsorted(first, np.cumsum([len(t) + 1 for _, t in some])))
 
-    def keep(self, words: list[tuple[bytes, str]], ids: np.ndarray, ends: np.ndarray) -> None:
+    def keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         raw, at = ids.tobytes(), (4 * np.append(0, ends)).tolist()
-        self.known.update(zip((w for w, _ in words), map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raws = [t.encode("utf-8").lower() for t in texts]
         words = [r.split() for r in raws]
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = set().union(*words).difference(self.known)
+        # one look at each word; those that are new are filled in
+        found = [list(map(self.known.get, ws)) for ws in words]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        fresh = {ws[i] for ws, places in zip(words, gaps, strict=True) for i in places}
         cores = {w: core for w in fresh if (core := w.rstrip(self.MARKS)) != w and core[-1:].isalpha()}
-        self.learn(list(((fresh - cores.keys()) | set(cores.values()) | {w[len(c) :] for w, c in cores.items()}).difference(self.known)))
+        self.learn(((fresh - cores.keys()) | set(cores.values()) | {w[len(c) :] for w, c in cores.items()}).difference(self.known))
         self.known.update({w: self.known[c] + self.known[w[len(c) :]] for w, c in cores.items()})
         out = []
-        for text, raw, ws in zip(texts, raws, words, strict=True):
+        for text, raw, ws, ids, places in zip(texts, raws, words, found, gaps, strict=True):
             if any(s.encode() in raw for s in self.special):
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+                ids = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()]
             else:
-                ids = b"".join(map(self.known.__getitem__, ws))
-            out.append(np.append(np.frombuffer(ids, np.int32), np.int32(END)))
+                for i in places:
+                    ids[i] = self.known[ws[i]]
+            ids.append(END_BYTES)
+            out.append(np.frombuffer(b"".join(ids), np.int32))
         return out
 
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ SKETCH_BITS, SLOTS, MAX_MATCH, VERIFY_COST, BINS, CHUNKS = 20, 16, 4, 16.0, 8, 6
 FILTER_BITS, MOST_BITS, SIZE_STEP = 22, 26, 1.02
 #: Members of a posting list that are looked at together.
 CHUNK = 128
+#: The most rounds that posting lists are met in, and how many of their members a round has before there are more.
+ROUNDS, ROUND_ROWS = 4, 50_000
 #: A block's bounds for counting links: classes, and shingles of all of them; shared shingles that are looked at together.
 BLOCK, BLOCK_ITEMS, COLUMNS = 256, 1 << 19, 4096
 
@@ -297,7 +300,6 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     kept = materialize(kept.select("id", "of", "h", "step", "pos", "as_x"), "kept")
     discard(some, c)
     release(spark)
-    x, y = kept.where("as_x"), kept.where("not as_x")
     large = kept.select("id", "of").distinct().groupBy("of").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).select("of", F.col("of").alias("g"))
     large = materialize(large, "large")
 
@@ -311,13 +313,6 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         item = F.struct("id", "of", "n", "matches", "pos", "places", "low", "spare")
         return materialize(df.groupBy("h", "step", F.col("g").alias(f"g{tag}"), "chunk").agg(F.collect_list(item).alias(f"m{tag}")).drop("chunk"), f"lists{tag}")
 
-    left = lists(x, "x")
-    release(spark)
-    right = lists(y, "y")
-    discard(kept, own)
-    release(spark)
-    met = left.join(right, ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == -1))
-
     def fits(x: Column, y: Column) -> Column:
         alpha = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent))
         least = F.least(x["matches"], y["matches"])
@@ -330,9 +325,22 @@ def candidates(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         return (x["of"] != y["of"]) & larger & (100 * y["n"] >= percent * x["n"]) & early(x) & early(y) & (common >= least)
 
     found = F.flatten(F.transform("mx", lambda x: F.transform(F.filter("my", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    pairs = materialize(met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct(), "numbers")
-    discard(left, right)
-    release(spark)
+
+    def meet(some: DataFrame) -> DataFrame:
+        """Pairs (a, b) that meet by these shingles; the lists, which carry much, are gone when they are written."""
+        left = lists(some.where("as_x"), "x")
+        release(spark)
+        right = lists(some.where("not as_x"), "y")
+        release(spark)
+        met = left.join(right, ["h", "step"]).where((F.col("gx") != F.col("gy")) | (F.col("gx") == -1))
+        pairs = materialize(met.select(F.explode(found).alias("m")).select("m.a", "m.b").distinct(), "numbers")
+        discard(left, right)
+        release(spark)
+        return pairs
+
+    # lists of each shingle are made and met in one round, so only a round's share of them lies on disk
+    rounds = min(ROUNDS, 1 + kept.count() // ROUND_ROWS)
+    pairs = reduce(DataFrame.union, [meet(kept.where(F.pmod("h", F.lit(rounds)) == r)) for r in range(rounds)]).distinct()
     of = lambda c: names.select(F.col("id").alias(c), F.col("fp").alias(f"fp{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
 

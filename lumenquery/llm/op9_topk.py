@@ -9,9 +9,10 @@ segment is the most that it adds over the least that its dimension can add.
 Segments are processed in rounds of descending impact: a row's accumulator
 holds the impacts of the segments that it was seen in.  At a threshold T no
 dimension in which a row was not seen can add T, which bounds every row's score
-from above; quantisation bounds it from below.  Rows whose upper bound is below the k-th
-best lower bound (or the k-th best exact score of an earlier block) are out by proof; rounds go on until few
-rows are left or all segments are done.  Possible members are rescored exactly.
+from above; quantisation bounds it from below.  After each round the rows with the best lower bounds are scored exactly.  Rows whose
+upper bound is below the k-th best of these scores (or of an earlier block's) are out by proof; rounds go on until the rows left have
+fewer components than there are postings left, or all segments are done.  A round that proves nothing is followed by the last, as the
+bounds of evenly spread impacts only close there.  Possible members are rescored exactly.
 
 Bounds are doubles with a margin for what their sums can lose, so components of any finite size keep the proof; scores are
 rescored in 64 bits where all of a block's products fit, else in Python's integers.
@@ -38,8 +39,8 @@ from .common import materialize
 K, STEP, BLOCK, QUERIES, LEVELS = 5, 50, 4096, 2048, 32
 #: The widest number that Spark ranks; what is cut to it can't be among the best without an error.
 WIDEST = 10**38 - 1
-#: Shares of the largest impact down to which the rounds go, and how few rows end them early.
-ROUNDS, FEW = (0.5, 0.24, 0.0), 48
+#: Shares of the largest impact down to which the rounds go, and how many leading rows are scored after each.
+ROUNDS, LEAD = (0.5, 0.24, 0.0), 32
 
 
 class Index:
@@ -53,7 +54,8 @@ class Index:
             level = np.nan_to_num(np.floor((x - low) / np.maximum(high - low, 1) * LEVELS), nan=0.0, posinf=0.0).clip(0, LEVELS - 1).astype(np.int64)
         self.rows = np.argsort(level, axis=0, kind="stable").T.copy()  # a dimension's rows by level
         self.cuts = np.stack([np.searchsorted(np.sort(level[:, j]), np.arange(LEVELS + 1)) for j in range(d)]) if d else np.zeros((0, LEVELS + 1), np.int64)
-        self.full = np.diff(self.cuts, axis=1) > 0
+        self.size = np.diff(self.cuts, axis=1)
+        self.full = self.size > 0
         self.low, self.high = np.zeros((d, LEVELS)), np.zeros((d, LEVELS))
         for j in range(d):
             at, values = self.cuts[j, :-1][self.full[j]], x[self.rows[j], j]
@@ -72,6 +74,7 @@ class Index:
         if not scale < 1e300:  # products beyond a double's range: nothing is proved
             return np.flatnonzero(~own)
         margin = scale * (4 * d + 16) * 2.0**-52
+        floor = float(min(max(floor, -1e301), 1e301)) - margin
         base = np.where(self.full, least, np.inf).min(1)
         impact = np.where(self.full, most - base[:, None], -1.0)
         slack = np.where(self.full, most - least, 0.0).max(1).sum()
@@ -81,26 +84,35 @@ class Index:
         pack = float(1 << (d + 1).bit_length())
         packed = 2 * scale * pack < 2.0**53
         total, seen = np.zeros(m), np.zeros(m, np.int64)
+        possible = ~own
         for share in ROUNDS:
+            if 0 < share < ROUNDS[0] and np.array_equal(possible, ~own):
+                continue
             limit = top * share
             now = self.full & ~done & (impact >= limit)
             done |= now
             dims, levels = np.nonzero(now)
             if len(dims):
-                starts, ends = self.cuts[dims, levels], self.cuts[dims, levels + 1]
-                rows = np.concatenate([self.rows[j, s:e] for j, s, e in zip(dims, starts, ends, strict=True)])
+                # segments that lie one behind the other are read as one
+                starts, ends, sizes = dims * m + self.cuts[dims, levels], dims * m + self.cuts[dims, levels + 1], self.size[dims, levels]
+                parts = np.flatnonzero(np.append(True, starts[1:] != ends[:-1]))
+                rows = np.concatenate([self.rows.ravel()[s:e] for s, e in zip(starts[parts].tolist(), ends[np.append(parts[1:] - 1, -1)].tolist(), strict=True)])
                 if packed:
-                    total += np.bincount(rows, np.repeat(impact[dims, levels] * pack + 1, ends - starts), m)
+                    total += np.bincount(rows, np.repeat(impact[dims, levels] * pack + 1, sizes), m)
                 else:
-                    total += np.bincount(rows, np.repeat(impact[dims, levels], ends - starts), m)
+                    total += np.bincount(rows, np.repeat(impact[dims, levels], sizes), m)
                     seen += np.bincount(rows, minlength=m)
-            got, seen = np.divmod(total, pack) if packed else (total, seen)
+            got = np.floor(total / pack) if packed else total
+            seen = total - got * pack if packed else seen
             upper = got + (d - seen) * limit + sum_of_bases + margin
             lower = got - slack + sum_of_bases - margin
             lower[own] = -np.inf
-            theta = max(floor, np.partition(lower, m - k)[m - k] if m > k else -np.inf)
+            few = max(LEAD, 2 * k)
+            lead = np.argpartition(lower, m - few)[m - few :] if m > few else np.arange(m)
+            best = sorted(self.scores(lead[~own[lead]], q))[-k:]
+            theta = max(floor, best[0] - margin) if len(best) == k else floor
             possible = (upper >= theta) & ~own
-            if possible.sum() <= max(FEW, 2 * k):
+            if possible.sum() * d <= self.size[~done].sum():
                 break
         return np.flatnonzero(possible)
 
@@ -114,7 +126,9 @@ class Index:
 
 def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K, size: int = BLOCK) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of each query's k best of these vectors."""
-    parts = [(Index(vectors[i : i + size]), ids[i : i + size]) for i in range(0, len(ids), size)]
+    # blocks are dealt by hash, so they hold some more or less than `size`
+    cuts = np.linspace(0, len(ids), max(1, round(len(ids) / size)) + 1).astype(np.int64).tolist()
+    parts = [(Index(vectors[a:b]), ids[a:b]) for a, b in zip(cuts, cuts[1:])]
     out = []
     for q, own in zip(queries, query_ids, strict=True):
         best: list[tuple[int, int]] = []

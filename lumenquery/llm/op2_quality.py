@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, SEPARATORS, window_hashes, word_hashes
+from .common import SEPARATORS, fresh, release, window_hashes, word_hashes
 
 TRAIN_ROWS, BITS, THRESHOLD = 1500, 16, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -78,19 +78,22 @@ def counts(text: str | None, words: np.ndarray) -> tuple[int, int, int, int, int
 def fit(texts: list[str], bad: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float, float]:
     """Weights, and Platt's slope and intercept; rows in the given order, every third held out."""
     rows = [features(t, word_hashes(t, lower=False)) for t in texts]
-    held = np.arange(len(rows)) % 3 == 2
-    at, val, row = (np.concatenate(x) for x in zip(*((a, v, np.full(len(a), i)) for i, (a, v) in enumerate(rows)), strict=True))
+    n = len(rows)
+    held = np.arange(n) % 3 == 2
+    at, val = (np.concatenate(x) for x in zip(*rows, strict=True))
+    row = np.repeat(np.arange(n), [len(a) for a, _ in rows])
+    del rows  # as large as what is made of them
     y = bad.astype(float)
     use = np.where(held, 0.0, np.where(y > 0, 0.5 / max(y[~held].sum(), 1), 0.5 / max((1 - y)[~held].sum(), 1)))
     w, bias, m, s = np.zeros(1 << BITS), 0.0, 0.0, 0.0
     for t in range(1, steps + 1):  # Adam, whole batch, class-balanced
-        z = np.bincount(row, val * w[at], len(rows)) + bias
+        z = np.bincount(row, val * w[at], n) + bias
         g = (1 / (1 + np.exp(-z)) - y) * use
         grad = np.append(np.bincount(at, val * g[row], 1 << BITS) + 1e-6 * w, g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    z = np.bincount(row, val * w[at], len(rows)) + bias
+    z = np.bincount(row, val * w[at], n) + bias
     return w, *_platt(z[held], y[held], bias)
 
 
@@ -125,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     some = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
     got = some.groupBy("doc_id", "h", "quality").agg(F.min("text").alias("text")).orderBy("h", "doc_id").toArrow().to_pydict()
     bad = np.array(got["quality"]) == 0
+    release(docs.sparkSession)  # what planning has left on the heap would lie beside the fit
     return fit(got["text"], bad) if 0 < bad.sum() < len(bad) else None
 
 

@@ -17,7 +17,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from .common import SEPARATORS, fresh, release, window_hashes, word_hashes
 
 TRAIN_ROWS, BITS, THRESHOLD = 1500, 16, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+#: Features that the fit opens at a time.
+BLOCK = 1 << 16
 
 MULT = np.uint32(0x85EBCA6B)
 _IS_SPACE = np.zeros(256, bool)
@@ -37,8 +39,8 @@ _IS_SYMBOL[list(b"#*$%&|<>")] = True
 _STARTS = (np.arange(256) & 0xC0) != 0x80  # bytes that start a code point
 
 
-def features(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers and values of a text; values have the length 1."""
+def buckets(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of a text, and how many grams each holds."""
     mask = np.uint64((1 << BITS) - 1)
     found = [window_hashes(words, 1) & mask]
     if len(words) > 1:
@@ -51,7 +53,13 @@ def features(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found.append((h >> np.uint32(32 - BITS)).astype(np.uint64))
     counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BITS)
     at = np.flatnonzero(counts)
-    v = np.log1p(counts[at])
+    return at, counts[at]
+
+
+def features(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers and values of a text; values have the length 1."""
+    at, n = buckets(text, words)
+    v = np.log1p(n)
     return at, v / max(np.sqrt(v @ v), 1e-12)
 
 
@@ -75,25 +83,67 @@ def counts(text: str | None, words: np.ndarray) -> tuple[int, int, int, int, int
     return n, int(raw[~_IS_SPACE & _STARTS].sum()), int(raw[_IS_SYMBOL].sum()), len(lines) - len(set(lines)), repeated
 
 
-def fit(texts: list[str], bad: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float, float]:
+class Rows:
+    """Features of consecutive texts in 6 bytes each: bucket, count; values are made again whenever they are used."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]):
+        self.size = len(found)
+        self.at = np.concatenate([at for at, _ in found]).astype(np.min_scalar_type((1 << BITS) - 1))
+        self.n = np.concatenate([n for _, n in found]).astype(np.uint32)
+        self.row = np.array([len(at) for at, _ in found])
+        self.some = np.flatnonzero(self.row)
+        self.starts = (np.cumsum(self.row) - self.row)[self.some]
+        self.length = np.array([max(np.sqrt(v @ v), 1e-12) for v in (np.log1p(n) for _, n in found)])
+
+    def opened(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets, and values before they are divided by their row's length."""
+        return self.at.astype(np.intp), np.take(logs, self.n)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each row; rows without features have 0."""
+        out = np.zeros(self.size)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(x, self.starts)
+        return out
+
+
+def blocks(texts: Iterable[str]) -> Iterator[Rows]:
+    """The texts' features, some BLOCK of them together."""
+    found, size = [], 0
+    for text in texts:
+        found.append(buckets(text, word_hashes(text, lower=False)))
+        size += len(found[-1][0])
+        if size >= BLOCK:
+            yield Rows(found)
+            found, size = [], 0
+    if found:
+        yield Rows(found)
+
+
+def fit(texts: Iterable[str], bad: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float, float]:
     """Weights, and Platt's slope and intercept; rows in the given order, every third held out."""
-    rows = [features(t, word_hashes(t, lower=False)) for t in texts]
-    n = len(rows)
+    rows = list(blocks(texts))
+    n = len(bad)
+    ends = np.cumsum([0, *(x.size for x in rows)])
+    logs = np.log1p(np.arange(max((int(x.n.max(initial=0)) for x in rows), default=0) + 1))
     held = np.arange(n) % 3 == 2
-    at, val = (np.concatenate(x) for x in zip(*rows, strict=True))
-    row = np.repeat(np.arange(n), [len(a) for a, _ in rows])
-    del rows  # as large as what is made of them
     y = bad.astype(float)
     use = np.where(held, 0.0, np.where(y > 0, 0.5 / max(y[~held].sum(), 1), 0.5 / max((1 - y)[~held].sum(), 1)))
     w, bias, m, s = np.zeros(1 << BITS), 0.0, 0.0, 0.0
-    for t in range(1, steps + 1):  # Adam, whole batch, class-balanced
-        z = np.bincount(row, val * w[at], n) + bias
-        g = (1 / (1 + np.exp(-z)) - y) * use
-        grad = np.append(np.bincount(at, val * g[row], 1 << BITS) + 1e-6 * w, g.sum())
-        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    z = np.bincount(row, val * w[at], n) + bias
+    z, g = np.zeros(n), np.zeros(n)
+    for t in range(1, steps + 2):  # Adam, whole batch, class-balanced; the last round only scores
+        grad = 1e-6 * w
+        for x, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+            at, v = x.opened(logs)
+            z[a:b] = x.sums(v * np.take(w, at)) / x.length + bias
+            if t <= steps:
+                g[a:b] = (1 / (1 + np.exp(-z[a:b])) - y[a:b]) * use[a:b]
+                grad += np.bincount(at, v * np.repeat(g[a:b] / x.length, x.row), 1 << BITS)
+        if t <= steps:
+            grad = np.append(grad, g.sum())
+            m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+            step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
+            w, bias = w - step[:-1], bias - step[-1]
     return w, *_platt(z[held], y[held], bias)
 
 
@@ -126,10 +176,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     pick = one.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
     ids = pick.where("quality = 0").orderBy("h", "doc_id").limit(TRAIN_ROWS).union(pick.where("quality <> 0").orderBy("h", "doc_id").limit(TRAIN_ROWS))
     some = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    got = some.groupBy("doc_id", "h", "quality").agg(F.min("text").alias("text")).orderBy("h", "doc_id").toArrow().to_pydict()
-    bad = np.array(got["quality"]) == 0
+    got = some.groupBy("doc_id", "h", "quality").agg(F.min("text").alias("text")).orderBy("h", "doc_id").select("quality", "text").toArrow()
+    bad = got.column("quality").to_numpy() == 0
     release(docs.sparkSession)  # what planning has left on the heap would lie beside the fit
-    return fit(got["text"], bad) if 0 < bad.sum() < len(bad) else None
+    return fit((x.as_py() for x in got.column("text")), bad) if 0 < bad.sum() < len(bad) else None
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, bad_probability double"

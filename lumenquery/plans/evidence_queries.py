@@ -103,7 +103,8 @@ def audit_violations(spark, d):
 def claim_match(spark, d):
     """CT-08, K20: claims to answers by grams of whole texts, above the gate and within the band of the best."""
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim"), T.grams(T.norm(F.col("text")), 4).alias("cg"))
-    units = table(spark, d, "conversations").select("conv_id", "turn", T.grams(T.norm(F.col("text")), 4).alias("ug"))
+    units = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    units = J.dealt(units, ["conv_id", "turn"], claims.count() * units.count()).select("conv_id", "turn", T.grams(T.norm(F.col("text")), 4).alias("ug"))
     s = J.contained(claims, "claim", "cg", units, ["conv_id", "turn"], "ug", E.CLAIM_GATE)
     s = s.withColumn("best", F.max("score").over(Window.partitionBy("conv_id", "turn")))
     return s.where((F.col("score") >= E.CLAIM_GATE) & (F.col("score") >= F.col("best") - E.CLAIM_BAND)).select("claim", "conv_id", "turn", F.round("score", 4).alias("score"))

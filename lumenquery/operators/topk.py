@@ -12,6 +12,8 @@ is exact.  All questions share each round's scan; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,8 @@ WORDS = r"[^\x20\x09-\x0D.,;:!?]+"
 WINDOW, SCALE = 64, 1000
 #: Windows of a question that each round looks at before the last, and parts that a question's windows are ranked in.
 ROUNDS, SALTS = (16, 128), 32
+#: Rows of (question, term) that are broadcast at a time.
+PART = 200_000
 
 
 def words(c: Column) -> Column:
@@ -44,7 +48,8 @@ def postings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     place = numbered(d.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("n").alias("n")), ["lang", "n", "doc_id"], "place").select("doc_id", F.floor(F.col("place") / window).alias("window"))
     shared_folder(docs.sparkSession)
     d = d.join(place.checkpoint(), "doc_id")
-    d = d.select("window", "doc_id", words(T.first_line(F.col("text"))).alias("title"), words(F.col("text")).alias("body")).repartition("window")
+    d = d.select("window", "doc_id", "text").repartition("window")  # texts move, their words don't
+    d = d.select("window", "doc_id", words(T.first_line(F.col("text"))).alias("title"), words(F.col("text")).alias("body"))
     w = d.select("window", "doc_id", F.size("title").alias("len_title"), F.size("body").alias("len_body"), F.explode(F.concat(F.transform("title", lambda x: F.struct(x.alias("term"), F.lit(1).alias("t"), F.lit(0).alias("b"))), F.transform("body", lambda x: F.struct(x.alias("term"), F.lit(0).alias("t"), F.lit(1).alias("b"))))).alias("w"))
     w = w.select("window", "doc_id", "len_title", "len_body", "w.*")
     return w.groupBy("window", "term", "doc_id").agg(F.sum("t").cast("int").alias("tf_title"), F.sum("b").cast("int").alias("tf_body"), F.max("len_title").alias("len_title"), F.max("len_body").alias("len_body"))
@@ -60,7 +65,7 @@ def impact(stats: dict) -> Column:
 
 
 def blocks(posts: DataFrame, stats: dict) -> DataFrame:
-    """(term, window, most, n, docs): posting blocks, sorted by term within files so that a question's terms are read alone."""
+    """(term, window, most, n, docs): posting blocks; a task has all blocks of its windows."""
     p = posts.select("window", "term", F.struct("doc_id", impact(stats).alias("impact")).alias("x"))
     return p.groupBy("window", "term").agg(F.max("x.impact").alias("most"), F.count("*").alias("n"), F.collect_list("x").alias("docs"))
 
@@ -104,16 +109,28 @@ def first_of(df: DataFrame, by: str, order: list, k: int, tie: str) -> DataFrame
 
 def search(of: DataFrame, asked: DataFrame, k: int, rounds: tuple[int, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The k best documents of each question of (question, term, weight), ties to the smaller doc_id: (question, rank, doc_id, score);
-    and (question, windows, looked_at): how many windows hold a term of it, and how many were scored."""
+    and (question, windows, looked_at): how many windows hold a term of it, and how many were scored.
+
+    Questions are broadcast in parts of some PART rows.  Of the blocks only those of asked terms move, by window and once, in the last round.
+    """
     shared_folder(of.sparkSession)
-    head = of.select("term", "window", "most").join(asked, "term")
+    asked = asked.checkpoint()
+    parts = asked.count() // PART + 1
+    found = [_search(of, asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == i), k, rounds) for i in range(parts)]
+    return tuple(reduce(DataFrame.union, x) for x in zip(*found, strict=True))
+
+
+def _search(of: DataFrame, asked: DataFrame, k: int, rounds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    head = of.select("term", "window", "most").join(F.broadcast(asked), "term")
     bound = head.groupBy("question", "window").agg(F.sum(F.col("weight") * F.col("most")).alias("bound")).checkpoint()
+    asked_of = of.select("term", "window", "docs").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
 
-    def scored(some: DataFrame) -> DataFrame:
-        """Every document of these (question, window) that holds a term, with its score."""
-        need = some.select("question", "window").join(asked, "question")
-        hit = of.select("term", "window", "docs").join(need, ["term", "window"]).select("question", "weight", F.explode("docs").alias("x"))
-        return hit.groupBy("question", F.col("x.doc_id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("x.impact")).alias("score"))
+    def scored(some: DataFrame, few: bool) -> DataFrame:
+        """Every document of these (question, window) that holds a term, with its score; a few windows of each question are broadcast."""
+        wanted = some.groupBy("window").agg(F.collect_set("question").alias("wanted"))
+        hit = asked_of.join(F.broadcast(wanted) if few else wanted, "window").alias("b").join(F.broadcast(asked).alias("a"), F.expr("a.term = b.term AND array_contains(wanted, question)"))
+        hit = hit.select("window", "question", "weight", F.explode("docs").alias("x"))
+        return hit.groupBy("window", "question", F.col("x.doc_id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("x.impact")).alias("score")).drop("window")
 
     best, done = None, None
     for size in (*rounds, None):
@@ -125,7 +142,7 @@ def search(of: DataFrame, asked: DataFrame, k: int, rounds: tuple[int, ...] = RO
         if size:
             left = first_of(left, "question", [F.desc("bound"), "window"], size, "window")
         left = left.select("question", "window").checkpoint()
-        found = first_of(scored(left), "question", [F.desc("score"), "doc_id"], k, "doc_id").select("question", "doc_id", "score")
+        found = first_of(scored(left, bool(size)), "question", [F.desc("score"), "doc_id"], k, "doc_id").select("question", "doc_id", "score")
         # a document is in one window, so none comes twice
         every = found if best is None else found.unionByName(best.select("question", "doc_id", "score"))
         best = first_of(every, "question", [F.desc("score"), "doc_id"], k, "doc_id").select("question", "rank", "doc_id", "score").checkpoint()

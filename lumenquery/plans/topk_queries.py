@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lumenquery.operators import topk as K
-from lumenquery.sources.stored import once
+from lumenquery.sources.stored import once, release
 from lumenquery.sources.tables import table
 
 TOP = 10
@@ -15,8 +15,10 @@ def index(spark, d):
     """The stored blocks and their terms, and the statistics that they were made with."""
     docs, paths = table(spark, d, "documents"), [f"{d}/documents.parquet"]
     stats = once(spark, "topk-stats", paths, lambda: K.lengths(docs.where("doc_id is not null"))).first().asDict()
-    of = once(spark, f"topk-blocks {K.WINDOW}", paths, lambda: K.blocks(K.postings(docs), stats).repartitionByRange("term", "window").sortWithinPartitions("term", "window"))
-    return of, once(spark, "topk-terms", paths, lambda: K.terms(of)), stats
+    of = once(spark, f"topk-blocks by window {K.WINDOW}", paths, lambda: K.blocks(K.postings(docs), stats))
+    terms = once(spark, "topk-terms", paths, lambda: K.terms(of))
+    release(spark)
+    return of, terms, stats
 
 
 def search_topk(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -64,3 +65,9 @@ def once(spark: SparkSession, key: str, inputs: list[str], build: Callable[[], D
         if fs.exists(target) or not fs.rename(source, target):
             fs.delete(source, True)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files behind a stored table are of no use any more, but stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -20,10 +20,12 @@ PROMPT = "Was this useful?"
 def _context(spark, d):
     """The questions, and what is selected, rejected and claimed for each; all questions share the search."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
-    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    docs = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    found = search_topk(spark, d)
+    ids = F.broadcast(found.select("doc_id").distinct())  # of TOP documents a question: no other text or label moves
+    labels = table(spark, d, "labels").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = table(spark, d, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi").join(labels, "doc_id", "left")
     reason = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality")
-    selected, rejected = A.select(search_topk(spark, d), docs, reason, SELECTED)
+    selected, rejected = A.select(found, docs, reason, SELECTED)
     selected = selected.checkpoint()
     return q, selected, rejected, A.claims(q, selected).checkpoint()
 

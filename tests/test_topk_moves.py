@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenquery.operators import topk as K
-from lumenquery.plans import topk_queries
+from lumenquery.plans import answer_queries, topk_queries
 from lumenquery.sources.tables import table
 
 
@@ -21,3 +21,11 @@ def test_topk_questions_in_parts(spark, sf, monkeypatch):
     assert asked.count() > 3 * K.PART
     again = [sorted(map(tuple, x.collect())) for x in K.search(of, asked, 4, (2,))]
     assert again == [best, looked] and len(best) > 40
+
+
+def test_topk_answers_move_found_texts_only(spark, sf):
+    rejected = answer_queries._context(spark, sf)[2]
+    rejected.collect()
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    read = [i for i, x in enumerate(plan) if "Relation" in x and "text#" in x]
+    assert read and all(any("LeftSemi" in x for x in plan[i - 3 : i]) for i in read)
